@@ -27,8 +27,13 @@ def levels_for(width: int) -> int:
     return max(1, min(width, MAX_POSITION + 1).bit_length())
 
 
-def blocks_of_range(low: Column, high: Column, levels: int) -> Column:
-    """Array of (level, block) that exactly tile the closed range [low, high].
+def block_start() -> Column:
+    """First position of a block."""
+    return F.call_function("shiftleft", F.col("block"), F.col("level"))
+
+
+def blocks_of_range(low: Column, high: Column, levels: int, side: int = 0) -> Column:
+    """Array of (side, level, block) that exactly tile the closed range [low, high].
 
     At level l the aligned part of the range is [ceil(low/2^l), (high+1)/2^l);
     an odd end of it cannot be merged further up and becomes a block.
@@ -41,7 +46,7 @@ def blocks_of_range(low: Column, high: Column, levels: int) -> Column:
         stop = F.shiftright(high + F.lit(1), level)
         open_ = first < stop
         for odd, block in ((first, first), (stop, stop - 1)):
-            entry = F.struct(F.lit(level).alias("level"), block.alias("block"))
+            entry = F.struct(F.lit(side).alias("side"), F.lit(level).alias("level"), block.alias("block"))
             blocks.append(F.when(open_ & (odd.bitwiseAND(F.lit(1)) == 1), entry))
     return F.array_compact(F.array(*blocks))
 
@@ -57,7 +62,7 @@ def block_stats(positions: DataFrame, key: Sequence[str], levels: int) -> DataFr
 
     ``positions`` has ``pos`` and ``n``, one row per distinct position.
     """
-    base = F.shiftleft(F.col("block"), F.col("level"))
+    base = block_start()
     rows = with_blocks(positions, F.col("pos"), levels)
     return rows.groupBy(*key, "level", "block").agg(
         F.sum("n").alias("b_n"),

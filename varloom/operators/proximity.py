@@ -128,13 +128,7 @@ def _probes(points: DataFrame, reach: Reach) -> DataFrame:
         sides.append((SAME, p, p))
     parts = []
     for side, start, end in sides:
-        blocks = intervals.blocks_of_range(start, end, reach.levels if side != SAME else 1)
-        parts.append(
-            F.transform(
-                blocks,
-                lambda b, side=side: F.struct(F.lit(side).alias("side"), b["level"].alias("level"), b["block"].alias("block")),
-            )
-        )
+        parts.append(intervals.blocks_of_range(start, end, reach.levels if side != SAME else 1, side))
     return points.select("*", F.inline(F.concat(*parts)))
 
 
@@ -151,7 +145,7 @@ def neighbour_stats(
     searched = _keyed(variants, reach, roles).groupBy(*reach.key, "pos").agg(F.count(F.lit(1)).alias("n"))
     index = intervals.block_stats(searched, reach.key, reach.levels)
     probes = _probes(picked.select(*reach.key, "reference_chromosome", "pos"), reach)
-    base = F.shiftleft(F.col("block"), F.col("level"))
+    base = intervals.block_start()
     p, side = F.col("pos"), F.col("side")
     total = F.when(side == UP, F.col("b_n") * (p - base) - F.col("b_offsets")).otherwise(
         F.col("b_n") * (base - p) + F.col("b_offsets")

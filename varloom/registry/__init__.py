@@ -11,6 +11,9 @@ MODULES = (
     "predicates",
     "aggregates",
     "proximity_queries",
+    "sets_joins",
+    "matrices",
+    "spectra",
 )
 
 

@@ -224,10 +224,10 @@ def b19(spark, sf):
     return regions.in_regions(e, r, regions.detect_roles(e)).select("event_id")
 
 
-@query("b20_first_column_contains", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%'")
+@query("b20_first_column_contains", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%andar%'")
 def b20(spark, sf):
     p = table(spark, sf, "part")
-    return flt.contains_in_first(p, ["pathway", "pathways", "p_type", "p_name"], "steel").select("p_partkey", "p_type")
+    return flt.contains_in_first(p, ["pathway", "pathways", "p_type", "p_name"], "ANDAR").select("p_partkey", "p_type")
 
 
 @query("b21_open_bounds", sql("SELECT variant_id FROM variants WHERE chrom = 'chr2' AND start_pos >= 1012000"))
