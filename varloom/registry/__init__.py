@@ -14,6 +14,7 @@ MODULES = (
     "sets_joins",
     "matrices",
     "spectra",
+    "io",
 )
 
 
