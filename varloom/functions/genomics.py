@@ -73,6 +73,11 @@ def complement(c: Column | str) -> Column:
     return F.translate(upper, "ACGT", "TGCA")
 
 
+def _pair(c: Column) -> Column:
+    """Complement of text that is known to hold plain bases only."""
+    return F.translate(c, "ACGT", "TGCA")
+
+
 def reverse_complement(c: Column | str) -> Column:
     return F.reverse(complement(c))
 
@@ -86,13 +91,7 @@ def pyrimidine_substitution(ref: Column | str, alt: Column | str) -> Column:
     r, a = F.upper(_as_column(ref)), F.upper(_as_column(alt))
     single = r.isin(*BASES) & a.isin(*BASES) & (r != a)
     forward = F.concat(r, F.lit(">"), a)
-    backward = F.concat(complement(r), F.lit(">"), complement(a))
-    return F.when(single, F.when(is_purine(r), backward).otherwise(forward))
-
-
-def pyrimidine_context(ref: Column | str, context: Column | str) -> Column:
-    ctx = F.upper(_as_column(context))
-    return F.when(is_purine(ref), reverse_complement(ctx)).otherwise(ctx)
+    return F.when(single, F.when(r.isin("A", "G"), _pair(forward)).otherwise(forward))
 
 
 def channel(ref: Column | str, alt: Column | str, context: Column | str) -> Column:
@@ -101,9 +100,10 @@ def channel(ref: Column | str, alt: Column | str, context: Column | str) -> Colu
     Null when the context is not three plain bases or its centre is not ref.
     """
     r, ctx = F.upper(_as_column(ref)), F.upper(_as_column(context))
-    usable = ctx.rlike("^[ACGT]{3}$") & (F.substring(ctx, 2, 1) == r)
-    name = F.concat(pyrimidine_substitution(ref, alt), F.lit("_"), pyrimidine_context(ref, context))
-    return F.when(usable, name)
+    plain = (F.length(ctx) == 3) & (F.translate(ctx, "ACGT", "") == "")
+    strand = F.when(r.isin("A", "G"), F.reverse(_pair(ctx))).otherwise(ctx)
+    name = F.concat(pyrimidine_substitution(ref, alt), F.lit("_"), strand)
+    return F.when(plain & (F.substring(ctx, 2, 1) == r), name)
 
 
 def all_channels() -> list[str]:

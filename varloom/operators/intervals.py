@@ -32,23 +32,33 @@ def block_start() -> Column:
     return F.call_function("shiftleft", F.col("block"), F.col("level"))
 
 
-def blocks_of_range(low: Column, high: Column, levels: int, side: int = 0) -> Column:
-    """Array of (side, level, block) that exactly tile the closed range [low, high].
+def cut_into_blocks(ranges: DataFrame, levels: int) -> DataFrame:
+    """Replace the closed range [low, high] of each row by the blocks that tile it.
 
     At level l the aligned part of the range is [ceil(low/2^l), (high+1)/2^l);
     an odd end of it cannot be merged further up and becomes a block.
     """
-    low = F.greatest(low, F.lit(0).cast("bigint"))
-    high = F.least(high, F.lit(MAX_POSITION).cast("bigint"))
-    blocks = []
-    for level in range(levels):
-        first = F.shiftright(low + F.lit((1 << level) - 1), level)
-        stop = F.shiftright(high + F.lit(1), level)
-        open_ = first < stop
-        for odd, block in ((first, first), (stop, stop - 1)):
-            entry = F.struct(F.lit(side).alias("side"), F.lit(level).alias("level"), block.alias("block"))
-            blocks.append(F.when(open_ & (odd.bitwiseAND(F.lit(1)) == 1), entry))
-    return F.array_compact(F.array(*blocks))
+    low = F.greatest(F.col("low"), F.lit(0).cast("bigint"))
+    high = F.least(F.col("high"), F.lit(MAX_POSITION).cast("bigint"))
+    level = F.col("level")
+
+    def shifted(c: Column) -> Column:
+        return F.call_function("shiftright", c, level)
+
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+    rest = [c for c in ranges.columns if c not in ("low", "high")]
+    per_level = ranges.select(
+        *rest, low.alias("low"), high.alias("high"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    )
+    ends = per_level.select(
+        *rest, "level", shifted(F.col("low") + size - 1).alias("first"), shifted(F.col("high") + 1).alias("stop")
+    ).filter(F.col("first") < F.col("stop"))
+
+    def if_odd(end: str, block: Column) -> Column:
+        return F.when(F.col(end).bitwiseAND(F.lit(1)) == 1, block)
+
+    found = F.array_compact(F.array(if_odd("first", F.col("first")), if_odd("stop", F.col("stop") - 1)))
+    return ends.select(*rest, "level", F.explode(found).alias("block"))
 
 
 def with_blocks(df: DataFrame, pos: Column, levels: int) -> DataFrame:
@@ -72,14 +82,11 @@ def block_stats(positions: DataFrame, key: Sequence[str], levels: int) -> DataFr
     )
 
 
-def block_top(
-    rows: DataFrame, key: Sequence[str], levels: int, k: int, order: Sequence[Column], within: Sequence[Column]
-) -> DataFrame:
+def block_top(rows: DataFrame, key: Sequence[str], levels: int, k: int, order: Sequence[Column]) -> DataFrame:
     """The k first rows of every block in ``order``.
 
-    Rows of one position are cut to k first, by ``within``; none of the others
-    can be among the k first of any block.
+    Rows should hold at most k per position already, since no block can use
+    more of them; that keeps a hot position from being spread over all levels.
     """
-    kept = top_per_group(rows, [*key, "pos"], k, within)
-    spread = with_blocks(kept, F.col("pos"), levels)
+    spread = with_blocks(rows, F.col("pos"), levels)
     return top_per_group(spread, [*key, "level", "block"], k, order)

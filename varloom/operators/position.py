@@ -82,6 +82,19 @@ def with_protein_position(df: DataFrame, candidates: Sequence[str] | None = None
     )
 
 
+def _residue_points(df: DataFrame, roles: Roles) -> DataFrame:
+    """(gene, pos, n): mutations per residue.
+
+    Rows are counted by their protein change as written, so each distinct text
+    is parsed once; the check stands on the sum to stay above that count.
+    """
+    gene = F.nullif(col(roles.gene), F.lit(""))
+    raw = df.groupBy(gene.alias("gene"), col(roles.protein_change).alias("change")).agg(F.count(F.lit(1)).alias("m"))
+    named = raw.withColumn("pos", genomics.amino_acid_position("change"))
+    known = F.col("gene").isNotNull() & (F.coalesce("pos", F.lit(0)) != 0)
+    return named.groupBy("gene", "pos").agg(F.sum(F.when(known, F.col("m"))).alias("n")).filter(F.col("n") > 0)
+
+
 def by_codon(df: DataFrame, gene: str | None = None, roles: Roles = Roles()) -> DataFrame:
     """Per gene and residue: count and the set of protein changes."""
     rows = df if gene is None else df.filter(col(roles.gene) == gene)
@@ -133,8 +146,7 @@ def greedy_hotspots(df: DataFrame, width: int, min_mutations: int, roles: Roles
     influence each other and are walked apart.
     """
     _check_width(width)
-    rows = with_protein_position(df, roles=roles)
-    points = _counted(rows, [col(roles.gene).alias("gene")], F.col("residue"))
+    points = _residue_points(df, roles)
     along = Window.partitionBy("gene").orderBy("pos")
     upto = F.sum("n").over(along.rangeBetween(Window.unboundedPreceding, width - 1))
     before = F.sum("n").over(along.rangeBetween(Window.unboundedPreceding, -1))
@@ -224,7 +236,7 @@ def domain_enrichment(
 
     Variants are counted per residue before they meet the domains.
     """
-    points = _counted(with_protein_position(df, roles=roles), [col(roles.gene).alias("gene")], F.col("residue"))
+    points = _residue_points(df, roles)
     lists = domain_lists(domains)
     covering = F.filter(
         "domains", lambda d: (d["domain_start"] <= F.col("pos")) & (d["domain_end"] >= F.col("pos"))

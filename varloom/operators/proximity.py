@@ -113,6 +113,23 @@ def references(
     return out
 
 
+def _in_reach(rows: DataFrame, points: DataFrame, reach: Reach) -> DataFrame:
+    """Drop rows whose surroundings hold no point at all.
+
+    A coarse check by blocks at least as wide as the reach: every point marks
+    the two or three blocks its range touches.  Few points leave few rows for
+    the exact lookup.  Without an upper bound every row may be in reach.
+    """
+    high = reach.bounds[1]
+    if high is None:
+        return rows
+    bits = high.bit_length()
+    touched = F.sequence(F.shiftright(F.col("pos") - high, bits), F.shiftright(F.col("pos") + high, bits))
+    marked = points.select(*reach.key, F.explode(touched).alias("coarse")).distinct()
+    placed = rows.withColumn("coarse", F.shiftright("pos", bits))
+    return placed.join(marked, [*reach.key, "coarse"], "left_semi").drop("coarse")
+
+
 def _probes(points: DataFrame, reach: Reach) -> DataFrame:
     """Cut the range on each side of every point into blocks."""
     low, high = reach.bounds
@@ -126,10 +143,10 @@ def _probes(points: DataFrame, reach: Reach) -> DataFrame:
         sides.append((DOWN, p + low, far_right))
     if reach.zero_counts:
         sides.append((SAME, p, p))
-    parts = []
-    for side, start, end in sides:
-        parts.append(intervals.blocks_of_range(start, end, reach.levels if side != SAME else 1, side))
-    return points.select("*", F.inline(F.concat(*parts)))
+    ranges = F.array(
+        *[F.struct(F.lit(side).alias("side"), start.alias("low"), end.alias("high")) for side, start, end in sides]
+    )
+    return intervals.cut_into_blocks(points.select("*", F.inline(ranges)), reach.levels)
 
 
 def neighbour_stats(
@@ -143,6 +160,7 @@ def neighbour_stats(
     """
     picked = reference_points(refs, reach, roles)
     searched = _keyed(variants, reach, roles).groupBy(*reach.key, "pos").agg(F.count(F.lit(1)).alias("n"))
+    searched = _in_reach(searched, picked, reach)
     index = intervals.block_stats(searched, reach.key, reach.levels)
     probes = _probes(picked.select(*reach.key, "reference_chromosome", "pos"), reach)
     base = intervals.block_start()
@@ -213,13 +231,16 @@ def nearest(
     by: str | None = None,
     descending: bool = False,
     tie: Sequence[str] = ("id",),
+    sparse_points: bool = True,
 ) -> DataFrame:
     """For every point the k first of the searched rows within reach.
 
     ``points`` and ``searched`` carry the key columns and ``pos``; the searched
     columns come back with their position as ``near_pos``.  Order is by
     distance, or by another searched column, then by ``tie``.  Each block only
-    keeps the k rows that can win, so a hot position stays small.
+    keeps the k rows that can win, so a hot position stays small.  With
+    ``sparse_points`` the searched rows are first reduced to those around some
+    point.
     """
     if k < 1:
         raise BadRequest("the number of neighbours must be at least 1")
@@ -238,19 +259,16 @@ def nearest(
         orders[DOWN] = orders[UP]
         within = [directed(col(by), descending), *ties]
 
-    probes = _probes(points, reach)
-    hits = None
-    for side in (UP, DOWN):
-        if by is not None and side == DOWN:
-            continue
-        top = intervals.block_top(searched, key, levels, k, [*orders[side], *ties], within)
-        top = top.withColumnRenamed("pos", "near_pos")
-        if by is None:
-            chosen = probes.filter(F.col("side").isin([UP] if side == UP else [SAME, DOWN]))
-        else:
-            chosen = probes
-        part = chosen.join(top, [*key, "level", "block"])
-        hits = part if hits is None else hits.unionByName(part)
+    if sparse_points:
+        searched = _in_reach(searched, points, reach)
+    kept = top_per_group(searched, [*key, "pos"], k, within)
+    index = None
+    for order_of, sides in ((UP, [UP]), (DOWN, [SAME, DOWN])) if by is None else ((UP, [UP, SAME, DOWN]),):
+        top = intervals.block_top(kept, key, levels, k, [*orders[order_of], *ties])
+        served = top.withColumn("side", F.explode(F.array(*[F.lit(x) for x in sides])))
+        index = served if index is None else index.unionByName(served)
+    index = index.withColumnRenamed("pos", "near_pos")
+    hits = _probes(points, reach).join(index, [*key, "side", "level", "block"])
     hits = hits.withColumn("distance_bp", F.abs(F.col("near_pos") - F.col("pos"))).drop("level", "block", "side")
     lead = F.col("distance_bp") if by is None else col(by)
     group = [c for c in points.columns]
@@ -305,11 +323,7 @@ def closest_hits(
     seen = reach.flipped()
     extra = [c for c in dict.fromkeys([roles.gene, *keep]) if c not in (roles.variant_id, roles.chrom, roles.start)]
     rows = _keyed(variants, seen, roles)
-    first = F.struct(col(roles.variant_id).alias("id"), *[col(c) for c in extra])
-    group = list(dict.fromkeys([*seen.key, "pos"]))
-    points = rows.groupBy(*group, col(roles.chrom).alias(roles.chrom)).agg(
-        F.min_by(first, col(roles.variant_id)).alias("q")
-    )
+    place = list(dict.fromkeys([*seen.key, roles.chrom, "pos"]))
     ref_rows = _keyed(refs, seen, roles).groupBy(*seen.key, "pos").agg(
         F.min(F.struct(col(roles.gene).alias("g"), col(roles.chrom).alias("c"))).alias("r")
     )
@@ -317,13 +331,18 @@ def closest_hits(
         *seen.key, "pos", F.col("pos").alias("ref_pos"), F.col("r.g").alias("reference_gene"),
         F.col("r.c").alias("reference_chromosome"),
     )
-    slim = points.select(*seen.key, roles.chrom, "pos")
-    best = nearest(slim, searched, seen, 1, tie=("ref_pos", "reference_gene")).drop("near_pos")
+    points = _in_reach(rows.select(*place).distinct(), searched.select(*seen.key, "pos"), seen)
+    best = nearest(
+        points, searched, seen, 1, tie=("ref_pos", "reference_gene"), sparse_points=False
+    ).drop("near_pos")
     if reach.same_gene:
         order = [F.col(c).asc() for c in ("distance_bp", "ref_pos", "reference_gene")]
         best = top_per_group(best, [roles.chrom, "pos"], 1, order)
-    out = best.join(points, list(dict.fromkeys([*seen.key, roles.chrom, "pos"])))
-    out = out.select("*", "q.*").drop("q")
+    # only now the variants themselves: the first by id at every position found
+    first = F.min_by(F.struct(col(roles.variant_id).alias("id"), *[col(c) for c in extra]), col(roles.variant_id))
+    found = rows.select(*place, col(roles.variant_id), *[col(c) for c in extra if c not in place]).join(best, place)
+    out = found.groupBy(*best.columns).agg(first.alias("q"))
+    out = out.select(*[c for c in best.columns if c not in extra], "q.*")
     return _presented(out, "ref_pos", "pos", reach, roles)
 
 
