@@ -30,9 +30,10 @@ def log_factorial(n: Column) -> Column:
     x = n.cast("double") + F.lit(float(_SHIFT + 1))
     inv = F.lit(1.0) / x
     inv2 = inv * inv
-    series = inv * (
-        F.lit(1.0 / 12.0) - inv2 * (F.lit(1.0 / 360.0) - inv2 * (F.lit(1.0 / 1260.0) - inv2 / F.lit(1680.0)))
-    )
+    series = F.lit(0.0)
+    for term in (1.0 / 1188.0, -1.0 / 1680.0, 1.0 / 1260.0, -1.0 / 360.0, 1.0 / 12.0):
+        series = series * inv2 + F.lit(term)
+    series = series * inv
     log_gamma = (x - F.lit(0.5)) * F.log(x) - x + F.lit(_HALF_LOG_2PI) + series
     product = F.lit(1.0)
     for k in range(1, _SHIFT + 1):

@@ -13,7 +13,8 @@ from varloom.functions import text
 from varloom.functions.stats import rounded
 from varloom.operators import filters as flt
 from varloom.operators.filters import BadRequest
-from varloom.roles import col, is_numeric, require_columns
+from varloom.operators.regions import GenomicFilter
+from varloom.roles import Roles, col, is_numeric, require_columns
 
 VALUE = "aggregated_value"
 TOTAL = "group_total"
@@ -70,6 +71,11 @@ def _percent_groups(
     return groups.select(*names, share.alias(VALUE), F.col(TOTAL).cast("bigint").alias(TOTAL))
 
 
+def _rows(df: DataFrame, filters, genomic: GenomicFilter | None, roles: Roles) -> DataFrame:
+    out = flt.apply(df, filters)
+    return out if genomic is None else genomic.apply(out, roles)
+
+
 def _check_grouping(group_by, percentage_by, having, order_by, limit) -> None:
     if having and not group_by:
         raise BadRequest("having needs group_by")
@@ -112,6 +118,8 @@ def aggregate(
     order_by: str | Sequence[str] | None = None,
     descending: bool = True,
     limit: int | None = None,
+    genomic: GenomicFilter | None = None,
+    roles: Roles = Roles(),
 ) -> DataFrame:
     """Grouped aggregate, or a one-row ``value`` without ``group_by``.
 
@@ -120,8 +128,8 @@ def aggregate(
     require_columns(df, [column, *(group_by or []), *(percentage_by or [])])
     _check_grouping(group_by, percentage_by, having, order_by, limit)
     if not group_by:
-        return scalar(df, column, aggregation, filters)
-    rows = flt.apply(df, filters)
+        return scalar(df, column, aggregation, filters, genomic, roles)
+    rows = _rows(df, filters, genomic, roles)
     names = list(group_by)
     percent = aggregation == "percentage"
     if percent:
@@ -131,19 +139,31 @@ def aggregate(
     return _finish(groups, names, percent, having, order_by, descending, limit)
 
 
-def scalar(df: DataFrame, column: str, aggregation: str, filters: Mapping[str, Any] | None = None) -> DataFrame:
+def scalar(
+    df: DataFrame,
+    column: str,
+    aggregation: str,
+    filters: Mapping[str, Any] | None = None,
+    genomic: GenomicFilter | None = None,
+    roles: Roles = Roles(),
+) -> DataFrame:
     """One row, one ``value``; no rows give 0.
 
-    The percentage compares non-null counts inside and outside the filter in
-    one pass over the table.
+    The percentage compares non-null counts inside and outside the filter, in
+    one pass over the table unless a genomic filter needs a join.
     """
+    c = col(column)
     if aggregation == "percentage":
         keep = flt.predicate(df, filters)
-        c = col(column)
-        inside = F.count(c) if keep is None else F.count(F.when(keep, c))
-        share = F.try_divide(inside.cast("double"), F.count(c).cast("double")) * F.lit(100.0)
-        return df.agg(F.coalesce(rounded(share, 2), F.lit(0.0)).alias("value"))
-    rows = flt.apply(df, filters)
+        if genomic is None:
+            inside = F.count(c) if keep is None else F.count(F.when(keep, c))
+            out = df.agg(inside.alias("i"), F.count(c).alias("n"))
+        else:
+            chosen = genomic.apply(flt.apply(df, filters), roles)
+            out = df.agg(F.count(c).alias("n")).withColumn("i", chosen.agg(F.count(c)).scalar())
+        share = F.try_divide(F.col("i").cast("double"), F.col("n").cast("double")) * F.lit(100.0)
+        return out.select(F.coalesce(rounded(share, 2), F.lit(0.0)).alias("value"))
+    rows = _rows(df, filters, genomic, roles)
     out = rows.agg(measure(rows, aggregation, column).alias("value"))
     if is_numeric(out.schema["value"].dataType):
         out = out.select(F.coalesce("value", F.lit(0)).alias("value"))
@@ -159,10 +179,12 @@ def summary(
     having: Mapping[str, Any] | None = None,
     percentage_by: Sequence[str] | None = None,
     limit: int | None = None,
+    genomic: GenomicFilter | None = None,
+    roles: Roles = Roles(),
 ) -> DataFrame:
     """total_records, groups_before_having, groups_after_having in one row."""
-    rows = flt.apply(df, filters)
-    kept = aggregate(df, column, group_by, aggregation, percentage_by, filters, having)
+    rows = _rows(df, filters, genomic, roles)
+    kept = aggregate(rows, column, group_by, aggregation, percentage_by, having=having)
     after = kept.agg(F.count(F.lit(1))).scalar()
     if limit:
         after = F.least(after, F.lit(limit).cast("bigint"))
@@ -185,6 +207,8 @@ def combination_aggregate(
     order_by: str | Sequence[str] | None = None,
     descending: bool = True,
     limit: int | None = None,
+    genomic: GenomicFilter | None = None,
+    roles: Roles = Roles(),
 ) -> DataFrame:
     """Aggregate over column combinations, with concatenated fields at the end.
 
@@ -194,7 +218,8 @@ def combination_aggregate(
     if not combination:
         raise BadRequest("combination needs at least one column")
     out = aggregate(
-        df, column, combination, aggregation, percentage_by, filters, having, order_by, descending, limit
+        df, column, combination, aggregation, percentage_by, filters, having, order_by, descending, limit,
+        genomic, roles,
     )
     for field in computed or []:
         flt._check_keys(field, {"name", "type", "columns", "separator"}, "computed field")
@@ -217,6 +242,8 @@ def concat_aggregate(
     order_by: str | Sequence[str] | None = None,
     descending: bool = True,
     limit: int | None = None,
+    genomic: GenomicFilter | None = None,
+    roles: Roles = Roles(),
 ) -> DataFrame:
     """Older form: count, percentage or distinct count of a concatenated value.
 
@@ -224,7 +251,7 @@ def concat_aggregate(
     """
     groups_by = list(group_by or [])
     require_columns(df, [*columns, *groups_by])
-    rows = flt.apply(df, filters).select(*groups_by, text.joined(columns, separator).alias("concatenated_value"))
+    rows = _rows(df, filters, genomic, roles).select(*groups_by, text.joined(columns, separator).alias("concatenated_value"))
     if aggregation == "distinct_count":
         counted = F.countDistinct("concatenated_value")
         if not groups_by:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -15,8 +16,8 @@ from varloom.roles import Roles, col, first_existing
 
 Region = Mapping[str, Any]
 
-# A region table is cut into blocks of 2**16 bases for the equi-join.
-REGION_BLOCK_BITS = 16
+# A region table is cut into blocks of 2**12 bases for the equi-join.
+REGION_BLOCK_BITS = 12
 
 
 def same_chromosome(c: str, chromosome: str) -> Column:
@@ -53,12 +54,15 @@ def in_regions(df: DataFrame, regions: Sequence[Region] | None, roles: Roles = R
 def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """As :func:`in_regions` for a table of regions (chromosome, start, end).
 
-    Regions are cut into blocks, so the semi join has an equality key.  A row
-    inside one block is matched there; the few rows that cross a block border
-    are spread over their blocks and merged again by variant id.
+    Regions are cut at block borders, so the semi join has an equality key, and
+    pieces with the same start are merged into the longest: however many
+    regions share a block, a row is compared with at most one piece per base of
+    it.  A row inside one block is matched there; the few rows that cross a
+    border are spread over their blocks and merged again by variant id.
     """
     bits = REGION_BLOCK_BITS
     span = F.sequence(F.shiftright("r_start", bits), F.shiftright("r_end", bits))
+    block_first = F.shiftleft("r_block", bits)
     cut = (
         regions.select(
             text.chromosome("chromosome").alias("r_chrom"),
@@ -67,6 +71,8 @@ def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -
         )
         .distinct()
         .withColumn("r_block", F.explode(span))
+        .groupBy("r_chrom", "r_block", F.greatest("r_start", block_first).alias("r_start"))
+        .agg(F.max(F.least("r_end", block_first + ((1 << bits) - 1))).alias("r_end"))
     )
     end = roles.end or roles.start
     first, last = F.shiftright(col(roles.start), bits), F.shiftright(col(end), bits)
@@ -89,8 +95,6 @@ def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -
 
 def detect_roles(df: DataFrame, roles: Roles = Roles()) -> Roles:
     """Find the position columns by their usual names."""
-    from dataclasses import replace
-
     ends = [c for c in ("end", "end_pos", "end_position") if c in df.columns]
     return replace(
         roles,
@@ -132,6 +136,28 @@ def in_gene_extents(df: DataFrame, extents: DataFrame, roles: Roles = Roles()) -
     return in_region_table(df, table, roles)
 
 
+@dataclass(frozen=True)
+class GenomicFilter:
+    """Positions and pathways a request may be limited to; all given parts must hold."""
+
+    positions: Sequence[Region] | None = None
+    pathway_ids: Sequence[str] | None = None
+    pathway_names: Sequence[str] | None = None
+    association: DataFrame | None = None
+    pathways: DataFrame | None = None
+    match: str = "exact"
+
+    def apply(self, df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+        out = in_regions(df, self.positions, roles)
+        if self.pathway_ids is None and self.pathway_names is None:
+            return out
+        if self.association is None:
+            raise BadRequest("a pathway filter needs the pathway gene table")
+        return in_pathways(
+            out, self.association, self.pathways, self.pathway_names, self.pathway_ids, self.match, roles
+        )
+
+
 def genes_of_pathways(
     association: DataFrame,
     pathways: DataFrame | None = None,

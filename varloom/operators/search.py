@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import filters as flt
 from varloom.operators import ordering, regions
+from varloom.operators.regions import GenomicFilter
 from varloom.roles import Roles
 
 
@@ -19,11 +20,14 @@ def matches(
     positions: Sequence[Mapping[str, Any]] | None = None,
     term: str | None = None,
     columns: Sequence[str] | None = None,
+    genomic: GenomicFilter | None = None,
     roles: Roles = Roles(),
 ) -> DataFrame:
     """All rows a search finds, before sorting and paging."""
     out = flt.apply(df, filters)
     out = regions.in_regions(out, positions, roles)
+    if genomic is not None:
+        out = genomic.apply(out, roles)
     return flt.free_text(out, term, columns)
 
 
@@ -38,10 +42,11 @@ def search(
     page: int = 1,
     page_size: int = 10,
     key: Sequence[str] | None = None,
+    genomic: GenomicFilter | None = None,
     roles: Roles = Roles(),
 ) -> DataFrame:
     """One page of results with numbers normalised."""
-    found = matches(df, filters, positions, term, columns, roles)
+    found = matches(df, filters, positions, term, columns, genomic, roles)
     order_key = list(key) if key else [roles.variant_id]
     rows = ordering.page(found, page, page_size, sort_by, order_key, descending)
     return flt.normalise_numbers(rows)

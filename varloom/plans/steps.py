@@ -21,8 +21,8 @@ from varloom.roles import Roles
 def _tools(roles: Roles):
     return {
         "search": lambda df, **p: srch.search(df, roles=roles, **p),
-        "aggregate": agg.aggregate,
-        "combination_aggregate": agg.combination_aggregate,
+        "aggregate": lambda df, **p: agg.aggregate(df, roles=roles, **p),
+        "combination_aggregate": lambda df, **p: agg.combination_aggregate(df, roles=roles, **p),
     }
 
 

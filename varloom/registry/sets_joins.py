@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import stats
 from varloom.operators import cooccurrence as co
-from varloom.operators import graph, matrix, metrics, ordering, pathway, position, regions, sets, suggest
+from varloom.operators import graph, matrix, metrics, ordering, pathway, position, regions, search, sets, suggest
 from varloom.operators import aggregate as agg
 from varloom.operators import compare as cmp
 from varloom.plans import steps
@@ -55,6 +55,66 @@ def c2(spark, sf):
     return out.select("variant_id", "gene")
 
 
+_GENOMIC = """(chrom = 'chr2' AND start_pos <= 1012000 AND end_pos >= 1010000 OR chrom = 'chr9' AND start_pos <= 1082900
+  AND end_pos >= 1080000) AND gene IN (SELECT gene FROM pathway_genes WHERE pathway_id IN ('P1', 'P8', 'P9'))"""
+
+
+def _genomic(spark, sf):
+    return regions.GenomicFilter(
+        positions=[
+            {"chromosome": "2", "start": 1010000, "end": 1012000}, {"chromosome": "chr9", "start": 1080000, "end": 1082900},
+        ],
+        pathway_ids=["P1", "P8", "P9"],
+        association=pathway_genes(spark, sf),
+    )
+
+
+@query(
+    "k1_search_in_pathway",
+    sql(
+        f"""SELECT variant_id, gene, start_pos::DOUBLE AS start_pos, end_pos::DOUBLE AS end_pos FROM variants
+        WHERE variant_class <> 'Silent' AND {_GENOMIC} ORDER BY start_pos DESC, variant_id LIMIT 40 OFFSET 40""",
+        "variants", "pathway_genes",
+    ),
+)
+def k1_pathway(spark, sf):
+    out = search.search(
+        variants(spark, sf), {"column": "variant_class", "operator": "neq", "value": "Silent"}, sort_by="start_pos",
+        descending=True, page=2, page_size=40, genomic=_genomic(spark, sf), roles=ROLES,
+    )
+    return out.select("variant_id", "gene", "start_pos", "end_pos")
+
+
+@query(
+    "k2_aggregate_in_pathway",
+    sql(
+        f"""SELECT gene, variant_type, round(n * 100.0::DOUBLE / t, 2) AS aggregated_value, t AS group_total FROM (
+        SELECT gene, variant_type, count(variant_id) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS t FROM variants
+        WHERE {_GENOMIC} GROUP BY gene, variant_type) x""",
+        "variants", "pathway_genes",
+    ),
+)
+def k2_pathway(spark, sf):
+    return agg.aggregate(
+        variants(spark, sf), "variant_id", ["gene", "variant_type"], "percentage", genomic=_genomic(spark, sf), roles=ROLES
+    )
+
+
+@query(
+    "d7_percentage_in_pathway",
+    sql(
+        f"""SELECT round((SELECT count(variant_id) FROM variants WHERE {_GENOMIC} AND variant_type = 'SNP')::DOUBLE
+        / count(variant_id) * 100, 2) AS value FROM variants""",
+        "variants", "pathway_genes",
+    ),
+)
+def d7_pathway(spark, sf):
+    return agg.aggregate(
+        variants(spark, sf), "variant_id", None, "percentage", filters={"column": "variant_type", "value": "SNP"},
+        genomic=_genomic(spark, sf), roles=ROLES,
+    )
+
+
 _PATHWAY_GENE_LISTS = """SELECT id, pathway_name, count(DISTINCT gene) AS gene_count,
   string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes FROM pathways JOIN pathway_genes ON id = pathway_id"""
 
