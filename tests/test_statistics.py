@@ -46,6 +46,16 @@ def test_fisher_on_large_tables_and_negative_cells(spark):
     assert got[2] == 1.0
 
 
+def test_fisher_far_from_the_mean(spark):
+    """The equally rare terms of the other tail have to be found too."""
+    tables = [(100, 9900, 99900, 890100), (250, 9750, 99750, 890250), (1480, 8520, 98520, 891480), (0, 500, 60, 1500)]
+    df = spark.createDataFrame(tables, "a bigint, b bigint, c bigint, d bigint")
+    cells = [F.col(x) for x in "abcd"]
+    for r in df.select("*", stats.fisher_two_sided(*cells).alias("p")).collect():
+        want = exact_tail(r["a"], r["a"] + r["b"], r["a"] + r["c"], r["a"] + r["b"] + r["c"] + r["d"])
+        assert r["p"] == pytest.approx(want, rel=1e-6)
+
+
 def exact_tail(a, r, k, n):
     """Two-sided p by log-gamma, for a table too large for exact integers."""
     def lp(i):

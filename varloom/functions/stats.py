@@ -41,18 +41,23 @@ def log_factorial(n: Column) -> Column:
     return log_gamma - F.log(product)
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-
-
-def _reach(row: Column, col_: Column, total: Column) -> tuple[Column, Column]:
-    """The mean, and the distance from it beyond which a term is 0 in double precision.
-
-    Chernoff: a hypergeometric tail is lighter than that of a Poisson with the
-    same mean m, and 40*sqrt(m) + 200 past m is below exp(-745) there.
+def _support(a: Column, row: Column, col_: Column, total: Column, up: bool) -> tuple[Column, Column]:
+    """First and last table a walk has to visit.
+
+    With m the mean and t the distance of ``a`` from it, terms s past ``a`` on
+    its own side are below 1e-17 of the first one for s = 9*sqrt(m) + 20 (the
+    distribution is log-concave and its tails are lighter than Poisson).  Equally
+    rare terms on the other side are at most 2t away, for the skew of a Poisson.
+    Beyond 40*sqrt(m) + 200 every term is zero in double precision.
     """
     mean = row.cast("double") * col_.cast("double") / F.greatest(total, F.lit(1)).cast("double")
-    return mean, F.lit(40.0) * F.sqrt(mean) + F.lit(200.0)
+    t = F.abs(a.cast("double") - mean)
+    own_side = (a.cast("double") >= mean) if up else (a.cast("double") <= mean)
+    near = F.when(own_side, t).otherwise(F.lit(2.0) * t) + F.lit(9.0) * F.sqrt(mean) + F.lit(20.0)
+    reach = F.least(near, F.lit(40.0) * F.sqrt(mean) + F.lit(200.0))
+    lo = F.greatest(F.lit(0).cast("bigint"), row + col_ - total, F.floor(mean - reach).cast("bigint"))
+    hi = F.least(row, col_, F.ceil(mean + reach).cast("bigint"))
+    return lo, hi
 
 
 def _walk(a, row, col_, total, up: bool, limit: float | None) -> Column:
@@ -60,9 +65,7 @@ def _walk(a, row, col_, total, up: bool, limit: float | None) -> Column:
 
     With ``limit`` only terms whose log ratio is at most ``limit`` count.
     """
-    mean, reach = _reach(row, col_, total)
-    lo = F.greatest(F.lit(0).cast("bigint"), row + col_ - total, F.floor(mean - reach).cast("bigint"))
-    hi = F.least(row, col_, F.ceil(mean + reach).cast("bigint"))
+    lo, hi = _support(a, row, col_, total, up)
     if up:
         steps = F.when(a < hi, F.sequence(a, hi - 1)).otherwise(F.array().cast("array<bigint>"))
     else:
@@ -93,9 +96,12 @@ def _table(a, b, c, d):
 
 
 def _observed(a, row, col_, total) -> Column:
-    return F.exp(
-        _log_choose(row, a) + _log_choose(total - row, col_ - a) - _log_choose(total, col_)
-    )
+    """Probability of the table itself, from nine log-factorials."""
+    ups = (row, total - row, col_, total - col_)
+    downs = (total, a, row - a, col_ - a, total - row - col_ + a)
+    signed = [(n, 1.0) for n in ups] + [(n, -1.0) for n in downs]
+    parts = F.array(*[F.struct(n.alias("n"), F.lit(sign).alias("sign")) for n, sign in signed])
+    return F.exp(F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["sign"] * log_factorial(p["n"])))
 
 
 def _guard(p: Column, a, b, c, d) -> Column:
