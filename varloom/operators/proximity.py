@@ -297,6 +297,7 @@ def nearby_per_reference(
 
 
 def _presented(hits: DataFrame, ref: str, query: str, reach: Reach, roles: Roles) -> DataFrame:
+    """Add labels and units, and give the columns the caller's names."""
     return (
         hits.withColumn("relative_direction", genomics.relative_direction(query, ref))
         .withColumn("distance", genomics.distance_in("distance_bp", reach.unit))
@@ -356,19 +357,18 @@ def rounded_average(stats: DataFrame) -> DataFrame:
     return stats.withColumn("avg_distance", rounded(F.col("avg_distance"), 2))
 
 
-def nested(hits: DataFrame, reach: Reach, roles: Roles = Roles()) -> DataFrame:
+def nested(hits: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Statistics over limited neighbour rows, with the rows as a nested list.
 
-    The list is as long as the per-reference limit at most.
+    The list is as long as the per-reference limit at most, nearest first.
     """
-    row = F.struct(
-        F.col("distance_bp"), col(roles.variant_id).alias("variant_id"), col(roles.gene).alias("gene"),
-        col(roles.start).alias("start"), F.col("distance"), F.col("relative_direction"),
-    )
-    return hits.groupBy("reference_chromosome", "reference_position", "reference_gene").agg(
+    key = ["reference_chromosome", "reference_position"]
+    lead = ["distance_bp", roles.variant_id]
+    rest = [c for c in hits.columns if c not in (*key, *lead, "reference_gene")]
+    return hits.groupBy(*key).agg(
         F.count(F.lit(1)).alias("nearby_count"),
         F.avg("distance_bp").alias("avg_distance"),
         F.min("distance_bp").alias("min_distance"),
         F.max("distance_bp").alias("max_distance"),
-        F.array_sort(F.collect_list(row)).alias("nearby_variants"),
+        F.array_sort(F.collect_list(F.struct(*[col(c) for c in (*lead, *rest)]))).alias("nearby_variants"),
     )

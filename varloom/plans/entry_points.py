@@ -56,7 +56,7 @@ def proximity(
     k = max_nearby_per_reference
     hits = prox.nearby_per_reference(refs, searched, reach, k, by, nearby_descending, keep, roles) if k else None
     if aggregate_by_reference:
-        stats = prox.nested(hits, reach, roles) if k else prox.neighbour_stats(refs, searched, reach, roles)
+        stats = prox.neighbour_stats(refs, searched, reach, roles) if not k else _with_details(hits, refs, reach, roles)
         out = prox.rounded_average(prox.having(stats, min_nearby, max_nearby, min_avg, max_avg))
         key = ["reference_chromosome", "reference_position"]
         allowed = ("nearby_count", "avg_distance")
@@ -70,3 +70,9 @@ def proximity(
             return ordering.page(out, page, page_size, "_sort", key, descending, 10000).drop("_sort")
         return ordering.page(out, page, page_size, sort_by, key, descending, 10000)
     return ordering.sort_nulls_as_zero(out, sort_by, key, descending) if sort_by else out
+
+
+def _with_details(hits: DataFrame, refs: DataFrame, reach: Reach, roles: Roles) -> DataFrame:
+    """Nested neighbours beside the details of their reference."""
+    points = prox.reference_points(refs, reach, roles).drop(*reach.key).withColumnRenamed("pos", "reference_position")
+    return points.join(prox.nested(hits, roles), ["reference_chromosome", "reference_position"])

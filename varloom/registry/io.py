@@ -198,14 +198,17 @@ def k8(spark, sf):
 
 
 @query("s1_stream_ingest", sql(
-    """SELECT variant_id, table_name, gene, TRY_CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM file""",
+    """SELECT variant_id, table_name, gene, TRY_CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM file
+    QUALIFY row_number() OVER (PARTITION BY table_name, variant_id ORDER BY gene, chrom, TRY_CAST("start" AS BIGINT) NULLS FIRST,
+      CAST("end" AS BIGINT), variant_class) = 1""",
     ctes=_FILE_ROWS,
 ))
 def s1(spark, sf):
     rows = _file_rows(spark, sf)
     folder, target, marks = (export.fresh_path(rows, n) for n in ("arrivals", "ingested", "progress"))
     export.write_delimited(rows, folder)
-    ingest.ingest_available(ingest.variant_stream(spark, folder, _FILE_SCHEMA), target, marks)
+    stream = ingest.variant_stream(spark, folder, _FILE_SCHEMA)
+    ingest.ingest_available(stream, target, marks, key=("table_name", "variant_id"))
     # files that arrive later repeat some rows; a second run takes only what is new
     export.write_delimited(rows.filter("gene in ('G1', 'G2')"), folder, mode="append")
     stream = ingest.variant_stream(spark, folder, _FILE_SCHEMA)

@@ -169,10 +169,9 @@ def c6(spark, sf):
         """SELECT variant_id, gene, residue, CASE WHEN domain_id IS NULL THEN 'Intradomain/Unknown' ELSE
             COALESCE(domain_name, domain_id) END AS domain_name, domain_id FROM (
           SELECT v.variant_id, v.gene, CAST(regexp_extract(protein_change, '([0-9]+)', 1) AS BIGINT) AS residue, d.domain_name,
-            d.domain_id, row_number() OVER (PARTITION BY variant_id ORDER BY domain_start) AS rn
+            d.domain_id
           FROM variants v LEFT JOIN domains d ON v.gene = d.gene
-            AND CAST(regexp_extract(protein_change, '([0-9]+)', 1) AS BIGINT) BETWEEN domain_start AND domain_end) x
-        WHERE rn = 1""",
+            AND CAST(regexp_extract(protein_change, '([0-9]+)', 1) AS BIGINT) BETWEEN domain_start AND domain_end) x""",
         "variants", "domains",
     ),
 )
@@ -709,7 +708,8 @@ def h18(spark, sf):
       SELECT h.p_brand, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d,
         round(sum(CASE WHEN lp <= lo + ln(1 + 1e-7) THEN exp(lp) ELSE 0 END), 8) AS two_sided,
         round(sum(CASE WHEN i >= a THEN exp(lp) ELSE 0 END), 8) AS greater,
-        round(any_value(a::DOUBLE * d / nullif(b::DOUBLE * c, 0)), 6) AS odds
+        CASE WHEN any_value(b * c) <> 0 THEN round(any_value(a::DOUBLE * d / nullif(b::DOUBLE * c, 0)), 6)
+          WHEN any_value(a * d) <> 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS odds
       FROM h JOIN o ON h.p_brand = o.p_brand GROUP BY h.p_brand""",
 )
 def h13(spark, sf):

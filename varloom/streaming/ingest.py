@@ -48,7 +48,10 @@ def ingest_available(
     out_schema = T.StructType([T.StructField("batch", T.LongType()), *stream.schema.fields])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(list(key))
+        # of several rows with one key the smallest is kept, also when the batch is run again
+        rest = F.struct(*[col(c) for c in batch.columns if c not in key])
+        fresh = batch.groupBy(*[col(k) for k in key]).agg(F.min(rest).alias("_rest"))
+        fresh = fresh.select(*[col(k) for k in key], "_rest.*").select(*[col(c) for c in batch.columns])
         if batch_id > 0:
             stored = spark.read.schema(out_schema).parquet(target).filter(F.col("batch") < batch_id)
             for part in [p for p in partition_by if p in key]:
