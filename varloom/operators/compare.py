@@ -60,7 +60,7 @@ def dataset_summary(data: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 
 def _gene_counts(data: DataFrame, labels: Sequence[str], roles: Roles) -> DataFrame:
-    """Per gene and label the mutations and mutated samples, side by side.
+    """Per gene the mutations, mutated samples and all samples of each label.
 
     Counting per (gene, label) comes first, so the wide form is built from a
     table with one row per gene and data set.
@@ -74,15 +74,12 @@ def _gene_counts(data: DataFrame, labels: Sequence[str], roles: Roles) -> DataFr
         here = F.col(LABEL) == name
         wide.append(F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"{name}_count"))
         wide.append(F.coalesce(F.sum(F.when(here, F.col("s"))), F.lit(0)).alias(f"{name}_samples"))
-    return counts.filter(F.col("gene").isNotNull()).groupBy("gene").agg(*wide)
-
-
-def _with_totals(wide: DataFrame, data: DataFrame, labels: Sequence[str], roles: Roles) -> DataFrame:
-    """Add the number of samples of every data set to every row."""
-    for name in labels:
+        # the number of samples goes through the aggregate, which keeps the
+        # subquery from being copied into every use of it
         of_label = data.filter(F.col(LABEL) == name)
-        wide = wide.withColumn(f"{name}_total", of_label.agg(F.countDistinct(_text(roles.sample))).scalar())
-    return wide
+        counts = counts.withColumn(f"{name}_total", of_label.agg(F.countDistinct(_text(roles.sample))).scalar())
+        wide.append(F.max(f"{name}_total").alias(f"{name}_total"))
+    return counts.filter(F.col("gene").isNotNull()).groupBy("gene").agg(*wide)
 
 
 def gene_frequencies(
@@ -97,7 +94,7 @@ def gene_frequencies(
     """
     if test not in ("none", "fisher_exact", "chi_square") or unit not in ("samples", "mutations"):
         raise BadRequest("unknown test or unit")
-    wide = _with_totals(_gene_counts(data, labels, roles), data, labels, roles)
+    wide = _gene_counts(data, labels, roles)
     columns = [F.col("gene")]
     for name in labels:
         share = stats.rate(F.col(f"{name}_count"), F.col(f"{name}_total"))

@@ -71,16 +71,21 @@ def enrichment(
         raise BadRequest("enrichment needs a gene list")
     chosen = pathways if not name_contains else pathways.filter(text.contains("pathway_name", name_contains))
     members = association.select(F.col("pathway_id").alias("id"), "gene").distinct()
-    marked = members.join(wanted.withColumn("hit", F.lit(1)), "gene", "left")
+    # the totals go through the aggregate, which keeps their subqueries from
+    # being copied into every use of them
+    marked = (
+        members.join(wanted.withColumn("hit", F.lit(1)), "gene", "left")
+        .withColumn("total", background.agg(F.count(F.lit(1))).scalar())
+        .withColumn("asked", wanted.agg(F.count(F.lit(1))).scalar())
+    )
     counts = marked.groupBy("id").agg(
         F.count("gene").alias("pathway_genes"),
         F.count("hit").alias("overlap"),
+        F.max("total").alias("total"),
+        F.max("asked").alias("asked"),
         F.array_sort(F.collect_list(F.when(F.col("hit") == 1, F.col("gene")))).alias("overlapping_genes"),
     )
     out = chosen.join(counts, "id").filter(F.col("overlap") >= min_genes)
-    out = out.withColumn("total", background.agg(F.count(F.lit(1))).scalar()).withColumn(
-        "asked", wanted.agg(F.count(F.lit(1))).scalar()
-    )
     a, k, n = F.col("overlap"), F.col("pathway_genes"), F.col("asked")
     out = out.withColumn("b", n - a).withColumn("c", k - a).withColumn(
         "d", F.greatest(F.lit(0).cast("bigint"), F.col("total") - k - n + a)
