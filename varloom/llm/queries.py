@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, pii, simhash
-from varloom.llm.common import table
+from varloom.llm import bpe, imatch, katz, mixing, pii, quality, simhash, topk, urls, warc
+from varloom.llm.common import held_out, table
 
 QUERIES = {}
 ORACLES = {}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Fetch date of the pages, which have none.
+FETCHED = "2024-01-01T00:00:00Z"
 #: Stands for the caller's secret.
 KEY = "key of the registered query"
 
@@ -22,6 +24,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 7, 2)
+    found = katz.scores(docs, ~out)
+    return found.withColumn("held_out", out)
+
+
 @query
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,3 +48,86 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymised(docs, KEY, changed="n_replaced")
+
+
+@query
+def op2_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 5, 0)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), usable=~out)
+    found = quality.scored(docs, model).select("doc_id", out.alias("held_out"), "score")
+    return found.withColumn("predicted", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0))
+
+
+#: (host, path, verdict) of the registered query.
+RULES = (
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+)
+
+
+@query
+def op7_hashed_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op7_hashed_url_rules"] = r"""
+WITH parsed AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    max_by(verdict, length(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parsed) p
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parsed p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
+"""
+
+
+@query
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    found = mixing.copies(docs)
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return found.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+@query
+def op10_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op10_kd_tree_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op6_imatch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.edited_likeness(docs, imatch.lexicon(docs))
+
+
+@query
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.derivatives(warc.responses(pages, FETCHED))
