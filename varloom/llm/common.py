@@ -59,10 +59,14 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """Text column as one array, null as empty."""
+    """Text column as one array, null as empty.
+
+    The copy begins at its own first byte: the string kernels misread arrays that
+    were cast while they were a slice of a longer one.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    return pa.concat_arrays([pc.fill_null(column.cast(pa.large_string()), "")])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Letters of Western languages beyond a-z; each has its capital at the same place.
+LATIN_LOWER = "".join(chr(c) for c in range(0xE0, 0xFF) if c != 0xF7)
+LATIN_UPPER = LATIN_LOWER.upper()
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 #: Dates are permuted within 400 Gregorian years, which have 146097 = 189 * 773 days.
@@ -51,7 +54,7 @@ def _turned(char: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
     out = char
     for letters in alphabets:
         at = F.instr(F.lit(letters), char)
-        out = F.when(at > 0, F.substring(F.lit(letters), (at - 1 + by) % len(letters) + 1, F.lit(1))).otherwise(out)
+        out = F.when((at > 0) & (char != ""), F.substring(F.lit(letters), (at - 1 + by) % len(letters) + 1, F.lit(1))).otherwise(out)
     return out
 
 
@@ -169,7 +172,7 @@ def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one found value; what fails the check of its kind stays."""
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    letters = (DIGITS, LOWER, UPPER)
+    letters = (DIGITS, LOWER, UPPER, LATIN_LOWER, LATIN_UPPER)
     return (
         F.when(value.contains("@"), F.concat(permuted(local, key, F.lower(domain), letters), F.lit("@"), domain))
         .when(value.rlike(_whole(IPV4)), ip_pseudonym(value, key))

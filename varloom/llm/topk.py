@@ -156,7 +156,8 @@ def top_k(
     keys = ["length", "shard", "block"]
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_task(k), shape)
+        apart = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from the same rows
+        return left.groupBy(*keys).cogroup(apart.groupBy(*keys)).applyInArrow(_task(k), shape)
 
     everywhere = rows.select("length", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
     home = saved(met(everywhere, queries.select(*keys, "vec_id", "v", least)))

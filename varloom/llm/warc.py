@@ -159,7 +159,7 @@ def spelt(records: DataFrame) -> DataFrame:
         line("WARC-Refers-To", "refers_to"), line("WARC-Target-URI", "target_uri"), line("WARC-Date", "warc_date"),
         line("WARC-Source-Payload-Digest", "source_digest"), line("WARC-Block-Digest", "block_digest"),
         F.when(F.col("source_headers").isNotNull(), F.concat(
-            F.lit("WARC-Source-Headers: "), F.base64(F.col("source_headers").cast("binary")), F.lit("\r\n"))).otherwise(""),
+            F.lit("WARC-Source-Headers: "), F.regexp_replace(F.base64(F.col("source_headers").cast("binary")), r"\s", ""), F.lit("\r\n"))).otherwise(""),
         line("Content-Type", "content_type"), line("Content-Length", "content_length"),
         F.lit("\r\n"), F.col("block"),
     ]
@@ -190,7 +190,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
         length = int(found["content_length"])
         found["content_length"] = length
         if found["source_headers"] is not None:
-            found["source_headers"] = base64.b64decode(found["source_headers"].replace("\r\n", "")).decode()
+            found["source_headers"] = base64.b64decode(found["source_headers"]).decode()
         found["block"] = data[end + 4 : end + 4 + length].decode()
         at = end + 4 + length
         yield found
