@@ -17,14 +17,10 @@ from pyspark.sql import functions as F
 
 from varloom.operators.ordering import top_per_group
 
-# Positions are below 2**31, which every known chromosome respects.
-POSITION_BITS = 31
-MAX_POSITION = (1 << POSITION_BITS) - 1
-
 
 def levels_for(width: int) -> int:
     """How many block sizes a range of at most ``width`` positions can need."""
-    return max(1, min(width, MAX_POSITION + 1).bit_length())
+    return max(1, width.bit_length())
 
 
 def block_start() -> Column:
@@ -36,10 +32,9 @@ def cut_into_blocks(ranges: DataFrame, levels: int) -> DataFrame:
     """Replace the closed range [low, high] of each row by the blocks that tile it.
 
     At level l the aligned part of the range is [ceil(low/2^l), (high+1)/2^l);
-    an odd end of it cannot be merged further up and becomes a block.
+    an odd end of it cannot be merged further up and becomes a block.  Positions
+    may be any bigint; an empty range (low > high) has no blocks.
     """
-    low = F.greatest(F.col("low"), F.lit(0).cast("bigint"))
-    high = F.least(F.col("high"), F.lit(MAX_POSITION).cast("bigint"))
     level = F.col("level")
 
     def shifted(c: Column) -> Column:
@@ -48,7 +43,7 @@ def cut_into_blocks(ranges: DataFrame, levels: int) -> DataFrame:
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
     rest = [c for c in ranges.columns if c not in ("low", "high")]
     per_level = ranges.select(
-        *rest, low.alias("low"), high.alias("high"), F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+        *rest, "low", "high", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
     )
     ends = per_level.select(
         *rest, "level", shifted(F.col("low") + size - 1).alias("first"), shifted(F.col("high") + 1).alias("stop")

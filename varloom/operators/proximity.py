@@ -66,12 +66,6 @@ class Reach:
         d = genomics.distance_bp(self.distance, self.unit)
         return self.mode == "within" or (self.mode == "exact" and d <= 1)
 
-    @property
-    def levels(self) -> int:
-        low, high = self.bounds
-        width = intervals.MAX_POSITION + 1 if high is None else high - low + 1
-        return intervals.levels_for(width)
-
     @property
     def key(self) -> list[str]:
         return (["k_chrom"] if self.same_chromosome else []) + (["k_gene"] if self.same_gene else [])
@@ -130,23 +124,43 @@ def _in_reach(rows: DataFrame, points: DataFrame, reach: Reach) -> DataFrame:
     return placed.join(marked, [*reach.key, "coarse"], "left_semi").drop("coarse")
 
 
-def _probes(points: DataFrame, reach: Reach) -> DataFrame:
+@dataclass(frozen=True)
+class Span:
+    """How far a lookup can go: by the reach alone, or to the ends of the searched positions."""
+
+    levels: int
+    first: int | None = None
+    last: int | None = None
+
+
+def _span(searched: DataFrame, reach: Reach) -> Span:
+    """Without an upper bound on the distance, the ends of the table are looked up: one small aggregate."""
+    low, high = reach.bounds
+    if high is not None:
+        return Span(intervals.levels_for(high - low + 1))
+    ends = searched.agg(F.min("pos").alias("first"), F.max("pos").alias("last")).first()
+    if ends["first"] is None:
+        return Span(1, 0, -1)
+    return Span(intervals.levels_for(ends["last"] - ends["first"] + 1), ends["first"], ends["last"])
+
+
+def _probes(points: DataFrame, reach: Reach, span: Span) -> DataFrame:
     """Cut the range on each side of every point into blocks."""
     low, high = reach.bounds
     p = F.col("pos")
-    far_left = F.lit(0).cast("bigint") if high is None else p - high
-    far_right = F.lit(intervals.MAX_POSITION).cast("bigint") if high is None else p + high
+    far_left = F.lit(span.first).cast("bigint") if high is None else p - high
+    far_right = F.lit(span.last).cast("bigint") if high is None else p + high
     sides = []
     if reach.direction in ("both", "upstream"):
-        sides.append((UP, far_left, p - low))
+        sides.append((UP, far_left, p - low if high is not None else F.least(p - low, F.lit(span.last).cast("bigint"))))
     if reach.direction in ("both", "downstream"):
-        sides.append((DOWN, p + low, far_right))
+        sides.append((DOWN, p + low if high is not None else F.greatest(p + low, F.lit(span.first).cast("bigint")), far_right))
     if reach.zero_counts:
         sides.append((SAME, p, p))
     ranges = F.array(
         *[F.struct(F.lit(side).alias("side"), start.alias("low"), end.alias("high")) for side, start, end in sides]
     )
-    return intervals.cut_into_blocks(points.select("*", F.inline(ranges)), reach.levels)
+    return intervals.cut_into_blocks(points.select("*", F.inline(ranges)), span.levels)
 
 
 def neighbour_stats(
@@ -155,14 +169,16 @@ def neighbour_stats(
     """Count, mean, least and greatest distance of the neighbours of each reference.
 
     One row per reference position (chrom:pos); where several references share
-    it, the first by gene and variant id stands for them.  Positions without a
-    neighbour are left out.
+    it, the first by gene and variant id stands for them.  With ``same_gene`` each
+    gene at the position looks up its own neighbours, which are then added up.
+    Positions without a neighbour are left out.
     """
     picked = reference_points(refs, reach, roles)
     searched = _keyed(variants, reach, roles).groupBy(*reach.key, "pos").agg(F.count(F.lit(1)).alias("n"))
     searched = _in_reach(searched, picked, reach)
-    index = intervals.block_stats(searched, reach.key, reach.levels)
-    probes = _probes(picked.select(*reach.key, "reference_chromosome", "pos"), reach)
+    span = _span(searched, reach)
+    index = intervals.block_stats(searched, reach.key, span.levels)
+    probes = _probes(picked.select(*reach.key, "reference_chromosome", "pos"), reach, span)
     base = intervals.block_start()
     p, side = F.col("pos"), F.col("side")
     total = F.when(side == UP, F.col("b_n") * (p - base) - F.col("b_offsets")).otherwise(
@@ -182,13 +198,21 @@ def neighbour_stats(
         .withColumn("avg_distance", F.col("_total").cast("double") / F.col("nearby_count"))
         .drop("_total")
     )
-    return picked.drop(*reach.key).join(stats, ["reference_chromosome", "pos"]).withColumnRenamed(
-        "pos", "reference_position"
-    )
+    shown = _collapsed(picked) if reach.same_gene else picked.drop(*reach.key)
+    return shown.join(stats, ["reference_chromosome", "pos"]).withColumnRenamed("pos", "reference_position")
+
+
+def _collapsed(points: DataFrame) -> DataFrame:
+    """One row per position of points by gene: details of the first gene, references of all."""
+    details = [c for c in points.columns if c.startswith("reference_") and c not in ("reference_chromosome", "reference_variants")]
+    first = F.min_by(F.struct(*details), F.struct("reference_gene", "k_first"))
+    return points.groupBy("reference_chromosome", "pos").agg(
+        first.alias("d"), F.sum("reference_variants").alias("reference_variants")
+    ).select("reference_chromosome", "pos", "reference_variants", "d.*")
 
 
 def reference_points(refs: DataFrame, reach: Reach, roles: Roles = Roles()) -> DataFrame:
-    """One row per reference position with the details of its first reference."""
+    """One row per reference position, with ``same_gene`` per gene there, with the details of its first reference."""
     details = ["gene", "variant_type", "variant_class", "protein_change", "genome_change"]
     named = {d: getattr(roles, d, d) for d in details}
     present = {d: c for d, c in named.items() if c in refs.columns}
@@ -196,14 +220,15 @@ def reference_points(refs: DataFrame, reach: Reach, roles: Roles = Roles()) -> D
     # a struct compares by its first fields, so min takes the first by gene, id
     order = F.struct(col(roles.gene), col(roles.variant_id))
     detail = F.struct(*[col(c).alias(f"reference_{d}") for d, c in present.items()])
-    points = rows.groupBy(col(roles.chrom).alias("reference_chromosome"), "pos").agg(
-        F.min_by(detail, order).alias("d"), F.count(F.lit(1)).alias("reference_variants")
+    place = [col(roles.chrom).alias("reference_chromosome"), "pos", *(["k_gene"] if reach.same_gene else [])]
+    points = rows.groupBy(*place).agg(
+        F.min_by(detail, order).alias("d"), F.count(F.lit(1)).alias("reference_variants"),
+        F.min(col(roles.variant_id)).alias("k_first"),
     )
-    points = points.select("reference_chromosome", "pos", "reference_variants", "d.*")
+    kept = ["k_gene", "k_first"] if reach.same_gene else []
+    points = points.select("reference_chromosome", "pos", "reference_variants", *kept, "d.*")
     if reach.same_chromosome:
         points = points.withColumn("k_chrom", F.col("reference_chromosome"))
-    if reach.same_gene:
-        points = points.withColumn("k_gene", F.col("reference_gene"))
     return points
 
 
@@ -245,7 +270,7 @@ def nearest(
     if k < 1:
         raise BadRequest("the number of neighbours must be at least 1")
     ties = [F.col(t).asc() for t in tie]
-    levels, key = reach.levels, reach.key
+    key = reach.key
 
     def directed(c: Column, down: bool) -> Column:
         return c.desc() if down else c.asc()
@@ -261,14 +286,15 @@ def nearest(
 
     if sparse_points:
         searched = _in_reach(searched, points, reach)
+    span = _span(searched, reach)
     kept = top_per_group(searched, [*key, "pos"], k, within)
     index = None
     for order_of, sides in ((UP, [UP]), (DOWN, [SAME, DOWN])) if by is None else ((UP, [UP, SAME, DOWN]),):
-        top = intervals.block_top(kept, key, levels, k, [*orders[order_of], *ties])
+        top = intervals.block_top(kept, key, span.levels, k, [*orders[order_of], *ties])
         served = top.withColumn("side", F.explode(F.array(*[F.lit(x) for x in sides])))
         index = served if index is None else index.unionByName(served)
     index = index.withColumnRenamed("pos", "near_pos")
-    hits = _probes(points, reach).join(index, [*key, "side", "level", "block"])
+    hits = _probes(points, reach, span).join(index, [*key, "side", "level", "block"])
     hits = hits.withColumn("distance_bp", F.abs(F.col("near_pos") - F.col("pos"))).drop("level", "block", "side")
     lead = F.col("distance_bp") if by is None else col(by)
     group = [c for c in points.columns]
@@ -285,7 +311,11 @@ def nearby_per_reference(
     keep: Sequence[str] = (),
     roles: Roles = Roles(),
 ) -> DataFrame:
-    """Up to k neighbours of each reference position, one row per pair."""
+    """Up to k neighbours of each reference position, one row per pair.
+
+    With ``same_gene`` each gene at the position looks up its own neighbours, and
+    the k first of them all are kept.
+    """
     points = reference_points(refs, reach, roles)
     extra = [c for c in dict.fromkeys([roles.chrom, roles.gene, *keep, *([by] if by else [])]) if c != roles.variant_id]
     searched = _keyed(variants, reach, roles).select(
@@ -293,6 +323,10 @@ def nearby_per_reference(
     )
     slim = points.select(*reach.key, "reference_chromosome", "pos", "reference_gene")
     hits = nearest(slim, searched, reach, k, by, descending)
+    if reach.same_gene:
+        lead = F.col("distance_bp") if by is None else col(by)
+        order = [lead.desc() if descending else lead.asc(), F.col("id").asc()]
+        hits = top_per_group(hits, ["reference_chromosome", "pos"], k, order)
     return _presented(hits, "pos", "near_pos", reach, roles)
 
 

@@ -149,6 +149,80 @@ def d36(spark, sf):
     return prox.rounded_average(stats).select(*_STATS_COLUMNS)
 
 
+# Two genes at every position: the second copy of a variant belongs to gene 'H' + number.
+_SHARED = f"""two AS (SELECT * FROM variants UNION ALL BY NAME SELECT * REPLACE (variant_id || '-h' AS variant_id,
+    replace(gene, 'G', 'H') AS gene, start_pos + CAST(substr(gene, 2) AS BIGINT) % 3 AS start_pos) FROM variants),
+  r2 AS (SELECT DISTINCT chrom, gene, start_pos FROM two WHERE replace(gene, 'H', 'G') IN ('G3', 'G25', 'G11')
+    AND variant_class = 'Nonsense_Mutation' AND table_name = 'cohort_1')"""
+
+
+def _shared(spark, sf):
+    v = variants(spark, sf)
+    moved = v.withColumn("start_pos", F.col("start_pos") + F.substring("gene", 2, 9).cast("bigint") % 3)
+    moved = moved.withColumn("variant_id", F.concat("variant_id", F.lit("-h")))
+    two = v.unionByName(moved.withColumn("gene", F.regexp_replace("gene", "G", "H")))
+    g = F.regexp_replace("gene", "H", "G")
+    refs = two.filter(
+        g.isin("G3", "G25", "G11") & (F.col("variant_class") == "Nonsense_Mutation") & (F.col("table_name") == "cohort_1")
+    )
+    return refs, two
+
+
+@query(
+    "c11_same_gene_limited",
+    sql(
+        """SELECT reference_chromosome, reference_position, variant_id, gene, start_pos, distance_bp FROM (
+          SELECT r.chrom AS reference_chromosome, r.start_pos AS reference_position, q.variant_id, q.gene, q.start_pos,
+            abs(q.start_pos - r.start_pos) AS distance_bp,
+            row_number() OVER (PARTITION BY r.chrom, r.start_pos ORDER BY abs(q.start_pos - r.start_pos), q.variant_id) AS rn
+          FROM r2 r JOIN two q ON q.chrom = r.chrom AND q.gene = r.gene AND abs(q.start_pos - r.start_pos) BETWEEN 1 AND 20) x
+        WHERE rn <= 3""",
+        ctes=_SHARED,
+    ),
+)
+def c11_gene_limited(spark, sf):
+    refs, two = _shared(spark, sf)
+    hits = prox.nearby_per_reference(refs, two, Reach(20, same_gene=True), 3, roles=ROLES)
+    return hits.select("reference_chromosome", "reference_position", "variant_id", "gene", "start_pos", "distance_bp")
+
+
+@query(
+    "d35_same_gene",
+    sql(
+        """SELECT r.chrom AS reference_chromosome, r.start_pos AS reference_position, count(*) AS nearby_count,
+          round(avg(abs(q.start_pos - r.start_pos)), 2) AS avg_distance, min(abs(q.start_pos - r.start_pos)) AS min_distance,
+          max(abs(q.start_pos - r.start_pos)) AS max_distance
+        FROM r2 r JOIN two q ON q.chrom = r.chrom AND q.gene = r.gene AND abs(q.start_pos - r.start_pos) BETWEEN 1 AND 40
+        GROUP BY ALL""",
+        ctes=_SHARED,
+    ),
+)
+def d35_gene(spark, sf):
+    refs, two = _shared(spark, sf)
+    found = prox.rounded_average(prox.neighbour_stats(refs, two, Reach(40, same_gene=True), ROLES))
+    return found.select(
+        "reference_chromosome", "reference_position", "nearby_count", "avg_distance", "min_distance", "max_distance"
+    )
+
+
+@query(
+    "c7_far_positions",
+    sql(
+        """SELECT variant_id, start_pos + 8000000000 AS start_pos, reference_position + 8000000000 AS reference_position,
+          distance_bp FROM (
+          SELECT q.chrom, q.start_pos, q.variant_id, r.start_pos AS reference_position, abs(q.start_pos - r.start_pos) AS distance_bp,
+            row_number() OVER (PARTITION BY q.chrom, q.start_pos ORDER BY abs(q.start_pos - r.start_pos), r.start_pos) AS rn
+          FROM q JOIN r ON q.chrom = r.chrom AND abs(q.start_pos - r.start_pos) BETWEEN 1 AND 6) x WHERE rn = 1""",
+        ctes=f"""r AS (SELECT DISTINCT chrom, start_pos FROM variants WHERE {_REF}),
+          q AS (SELECT chrom, start_pos, min(variant_id) AS variant_id FROM variants GROUP BY ALL)""",
+    ),
+)
+def c7_far(spark, sf):
+    v = variants(spark, sf).withColumn("start_pos", F.col("start_pos") + 8_000_000_000)
+    hits = prox.closest_hits(_refs(v), v, Reach(6), roles=ROLES)
+    return hits.select("variant_id", "start_pos", "reference_position", "distance_bp")
+
+
 def _nearest_sql(on: str, order: str, k: int) -> str:
     return sql(
         f"""SELECT reference_chromosome, reference_position, reference_gene, variant_id, gene, start_pos, distance_bp FROM (
