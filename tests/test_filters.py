@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
 from varloom.operators import aggregate as agg
@@ -139,12 +140,43 @@ def test_paging(spark):
         ordering.page(df, 1, 10, "nope", ["variant_id"])
 
 
-def test_deep_pages_use_row_numbers(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "DEEP_PAGE_ROWS", 10)
-    df = spark.range(500).selectExpr("(id * 7919) % 500 AS variant_id", "id % 2 AS g")
-    got = [r["variant_id"] for r in ordering.page(df, 5, 20, "g", ["variant_id"], descending=True).orderBy("variant_id").collect()]
-    want = sorted(df.collect(), key=lambda r: (-r["g"], r["variant_id"]))[80:100]
-    assert got == sorted(r["variant_id"] for r in want)
+def test_pages_are_in_order(spark):
+    df = spark.range(500).selectExpr("(id * 7919) % 500 AS variant_id", "CASE WHEN id % 5 > 0 THEN id % 2 END AS g", "id AS other")
+    got = [r["variant_id"] for r in ordering.page(df, 5, 20, "g", ["variant_id"], descending=True).collect()]
+    want = sorted(df.collect(), key=lambda r: (r["g"] is None, -(r["g"] or 0), r["variant_id"]))[80:100]
+    assert got == [r["variant_id"] for r in want]
+
+
+def test_large_top_per_group_is_cut_in_subgroups(spark):
+    df = spark.range(9000).selectExpr("id", "id % 2 AS g", "(id * 31) % 9000 AS v")
+    out = ordering.top_per_group(df, ["g"], 1500, [F.col("v").asc()])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") >= 2 and "_salt" in plan
+    got = sorted((r["g"], r["v"]) for r in out.collect())
+    by = {g: sorted(r["v"] for r in df.collect() if r["g"] == g)[:1500] for g in (0, 1)}
+    assert got == sorted((g, v) for g, vs in by.items() for v in vs)
+
+
+def test_regions_reach_the_scan(spark, tmp_path):
+    from varloom.operators import regions
+    from varloom.sources import catalog
+
+    df = spark.range(6000).selectExpr(
+        "id AS variant_id", "'c' AS table_name", "concat('chr', id % 6 + 1) AS chrom", "id * 10 AS start", "id * 10 AS end"
+    )
+    path = str(tmp_path / "variants")
+    catalog.write_variant_table(df, path, files=12)
+    wanted = [{"chromosome": "chr2", "start": 100, "end": 900}, {"chromosome": "2", "start": 5000, "end": 6000}, {"chromosome": "CHR3", "start": 20}]
+    found = regions.in_regions(spark.read.parquet(path), wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("]\n")[0]
+    assert "In(chrom" in pushed and "start" in pushed
+    brute = [r["variant_id"] for r in df.collect() if any(
+        r["chrom"][3:] == w["chromosome"].upper().removeprefix("CHR") and (
+            r["start"] == w["start"] if "end" not in w else r["start"] <= w["end"] and r["end"] >= w["start"]) for w in wanted)]
+    assert sorted(r["variant_id"] for r in found.collect()) == sorted(brute)
+    assert regions.spellings("chrX") and set(regions.spellings("chrMT")) >= {"MT", "mt", "chrMt", "CHRmT"}
+    assert regions.spellings("Un_KI270302v1") is None
 
 
 def test_row_index_with_one_hot_value(spark):

@@ -137,13 +137,33 @@ def all_samples(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return rows.filter(F.col("sample").isNotNull() & (F.col("sample") != "")).distinct()
 
 
-def gene_frequency(df: DataFrame, rows: DataFrame, genes: Sequence[str], roles: Roles = Roles()) -> DataFrame:
-    """Per listed gene: distinct (sample, type) and distinct samples over all samples."""
+def mutation_details(df: DataFrame, rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """The variants behind ``rows`` (see :func:`altered`): gene, sample, type, class, protein change, place."""
+    named = {
+        "gene": roles.gene, "sample": roles.sample, "variant_type": roles.variant_type, "variant_class": roles.variant_class,
+        "protein_change": roles.protein_change, "chromosome": roles.chrom, "position": roles.start,
+    }
+    chosen = [col(c).alias(n) if c in df.columns else F.lit(None).cast("string").alias(n) for n, c in named.items()]
+    return df.join(rows.select(F.col("variant_id").alias("_id")), col(roles.variant_id) == F.col("_id"), "left_semi").select(
+        col(roles.variant_id).alias("variant_id"), *chosen
+    )
+
+
+def gene_frequency(
+    df: DataFrame, rows: DataFrame, genes: Sequence[str], roles: Roles = Roles(), samples: DataFrame | None = None
+) -> DataFrame:
+    """Per listed gene: distinct (sample, type) and distinct samples over all samples.
+
+    ``samples`` restricts both sides of the division to these samples.
+    """
+    if samples is not None:
+        rows = rows.join(samples.select("sample"), "sample", "left_semi")
     counts = alteration_matrix(rows).groupBy("gene").agg(
         F.sum(F.size("types")).alias("alterations"), F.count(F.lit(1)).alias("samples")
     )
     axis = gene_list(df, genes).join(counts, "gene", "left").fillna(0, ["alterations", "samples"])
-    out = axis.withColumn("total", all_samples(df, roles).agg(F.count(F.lit(1))).scalar())
+    everyone = all_samples(df, roles) if samples is None else samples.select("sample").distinct()
+    out = axis.withColumn("total", everyone.agg(F.count(F.lit(1))).scalar())
     return out.select(
         "place", "gene", "alterations", "samples",
         stats.rate(F.col("alterations"), F.col("total")).alias("frequency"),

@@ -14,9 +14,8 @@ from pyspark.sql.window import Window
 from varloom.operators.filters import BadRequest
 from varloom.roles import col, require_columns
 
-# Above this many leading rows a page is cut by row number, not by a driver-side
-# top-k.
-DEEP_PAGE_ROWS = 100_000
+# Subgroups a group is ranked in first where the planner's own cut is off.
+SALTS = 32
 
 _own_folders: dict[str, str] = {}
 
@@ -24,12 +23,15 @@ _own_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate data.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests, a temporary one is made.
+    The cluster names it in ``spark.checkpoint.dir``, or the session has set a
+    checkpoint folder.  Without either a temporary one is made on a single
+    machine; on a cluster that is an error, as executors would not share it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise BadRequest("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="varloom-")
@@ -65,16 +67,22 @@ def page(
     descending: bool = False,
     max_size: int = 1000,
 ) -> DataFrame:
-    """Page ``number`` (from 1).  Paging needs a total order, hence the key."""
+    """Page ``number`` (from 1), in order.  Paging needs a total order, hence the key, which must be unique.
+
+    Only the sort column and the key are numbered; the rows of the page are then
+    fetched by key, so no other column is shuffled, however deep the page.
+    """
     if number < 1 or not 1 <= size <= max_size:
         raise BadRequest(f"page must be >= 1 and page size in 1..{max_size}")
-    require_columns(df, [*([by] if by else []), *key])
+    names = list(dict.fromkeys([*([by] if by else []), *key]))
+    require_columns(df, names)
     order = ([_directed(by, descending)] if by else []) + [col(k).asc() for k in key]
     skip = (number - 1) * size
-    if skip + size <= DEEP_PAGE_ROWS:
-        return df.orderBy(*order).offset(skip).limit(size)
-    numbered = with_row_index(df, order, "_row")
-    return numbered.filter(F.col("_row").between(skip, skip + size - 1)).drop("_row")
+    numbered = with_row_index(df.select(*[col(n) for n in names]), order, "_row")
+    wanted = numbered.filter(F.col("_row").between(skip, skip + size - 1)).limit(size)
+    wanted = wanted.select(*[col(k).alias(f"_key_{i}") for i, k in enumerate(key)])
+    same = [col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(key)]
+    return df.join(wanted, same, "left_semi").orderBy(*order)
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
@@ -114,9 +122,16 @@ def top_per_group(
     """The first k rows of each group.
 
     A row_number with an upper bound is cut per partition before the shuffle,
-    so a hot group sends at most k rows per task.
+    so a hot group sends at most k rows per task.  Spark does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; for a larger k each group is
+    cut to k rows within subgroups first, which are ranked in tasks of their own.
     """
     name = rank or "_rank"
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(SALTS))
+        within = Window.partitionBy(*[col(g) for g in group], "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_cut", F.row_number().over(within))
+        df = df.filter(F.col("_cut") <= k).drop("_cut", "_salt")
     window = Window.partitionBy(*[col(g) for g in group]).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
     return out if rank else out.drop(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import product
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,26 @@ Region = Mapping[str, Any]
 REGION_BLOCK_BITS = 12
 
 
+#: Names with more letters than this have too many spellings to list.
+MAX_LISTED_LETTERS = 4
+
+
+def spellings(chromosome: str) -> list[str] | None:
+    """All spellings that name the chromosome: any case, with and without chr."""
+    plain = _plain_chromosome(chromosome)
+    if sum(c.isalpha() for c in plain) > MAX_LISTED_LETTERS or not plain.isascii() or plain.startswith("CHR"):
+        return None
+    cases = ["".join(x) for x in product(*[sorted({c.upper(), c.lower()}) for c in plain])]
+    prefixes = ["", *["".join(x) for x in product("Cc", "Hh", "Rr")]]
+    return [p + c for p in prefixes for c in cases]
+
+
 def same_chromosome(c: str, chromosome: str) -> Column:
-    return text.chromosome(c) == _plain_chromosome(chromosome)
+    """Plain membership in the list of spellings, which reaches the scan and prunes there."""
+    listed = spellings(chromosome)
+    if listed is None:
+        return text.chromosome(c) == _plain_chromosome(chromosome)
+    return col(c).isin(listed)
 
 
 def _plain_chromosome(chromosome: str) -> str:
@@ -48,6 +67,10 @@ def in_regions(df: DataFrame, regions: Sequence[Region] | None, roles: Roles = R
     """Rows that match any of a short list of positions and regions."""
     if not regions:
         return df
+    # implied by the regions together; a conjunction that the scan can use by itself
+    names = [spellings(r["chromosome"]) for r in regions if "chromosome" in r]
+    if names and all(names):
+        df = df.filter(col(roles.chrom).isin(sorted({n for listed in names for n in listed})))
     return df.filter(reduce(lambda a, b: a | b, [region_predicate(r, roles) for r in regions]))
 
 

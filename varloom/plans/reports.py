@@ -43,7 +43,7 @@ def oncoplot_matrix(
     annotation_column: str | None = None,
     roles: Roles = Roles(),
 ) -> dict[str, DataFrame]:
-    """Alteration matrix of a gene list with ordered axes and frequencies."""
+    """Alteration matrix of a gene list with ordered axes, frequencies over the samples shown, and the variants behind it."""
     rows = flt.apply(df, filters)
     hits = matrix.altered(rows, genes, categories, samples, roles)
     everyone = matrix.samples_with_counts(rows, hits, roles)
@@ -53,13 +53,16 @@ def oncoplot_matrix(
     cells = matrix.alteration_matrix(hits)
     if max_samples:
         cells = cells.join(shown.select("sample"), "sample", "left_semi")
-    frequency = matrix.gene_frequency(rows, hits, genes, roles)
+    restricted = shown if samples or max_samples else None
+    frequency = matrix.gene_frequency(rows, hits, genes, roles, restricted)
     annotation = matrix.clinical_annotation(rows, annotation_column, roles) if annotation_column else None
     out = {
         "matrix": cells,
         "genes": matrix.ordered_genes(frequency, gene_order, custom_genes),
         "samples": matrix.ordered_samples(shown, sample_order, custom_samples, annotation),
     }
+    behind = hits.join(shown.select("sample"), "sample", "left_semi") if max_samples else hits
+    out["details"] = matrix.mutation_details(rows, behind, roles)
     if annotation is not None:
         out["annotation"] = shown.select("sample").join(annotation, "sample")
     return out
@@ -74,8 +77,23 @@ def autocomplete(
     }
 
 
-def position_analysis(df: DataFrame, kind: str, roles: Roles = Roles(), **options: Any) -> DataFrame:
-    """hotspots, sliding, gene_based, density, region or codon."""
+def _ordered(
+    out: DataFrame, order_by: str | None, descending: bool, limit: int | None
+) -> DataFrame:
+    """The rows in the order of one output column (null as 0, ties by the other columns), at most ``limit`` of them."""
+    if order_by is None and limit is None:
+        return out
+    simple = [c for c, t in out.dtypes if not t.startswith(("map", "struct", "array"))]
+    if order_by is not None:
+        return ordering.sort_nulls_as_zero(out, order_by, [c for c in simple if c != order_by], descending, limit)
+    return ordering.top(out, limit, [col(c).asc() for c in simple])
+
+
+def position_analysis(
+    df: DataFrame, kind: str, roles: Roles = Roles(), order_by: str | None = None, descending: bool = False,
+    limit: int | None = None, **options: Any,
+) -> DataFrame:
+    """hotspots, sliding, gene_based, density, region or codon; optionally sorted and cut."""
     kinds = {
         "hotspots": position.fixed_windows,
         "sliding": position.sliding_windows,
@@ -84,31 +102,35 @@ def position_analysis(df: DataFrame, kind: str, roles: Roles = Roles(), **option
         "region": position.by_position,
         "codon": position.by_codon,
     }
-    return _choose(kinds, kind)(df, roles=roles, **options)
+    return _ordered(_choose(kinds, kind)(df, roles=roles, **options), order_by, descending, limit)
 
 
-def signature_analysis(df: DataFrame, kind: str, roles: Roles = Roles()) -> DataFrame:
-    """profile, nested, samples or titv."""
+def signature_analysis(
+    df: DataFrame, kind: str, roles: Roles = Roles(), order_by: str | None = None, descending: bool = False,
+    limit: int | None = None,
+) -> DataFrame:
+    """profile, nested, samples or titv; optionally sorted and cut."""
     kinds = {
         "profile": signature.profile,
         "nested": lambda d, roles: signature.nested_profile(signature.profile(d, roles)),
         "samples": signature.sample_spectrum,
         "titv": signature.sample_titv,
     }
-    return _choose(kinds, kind)(df, roles=roles)
+    return _ordered(_choose(kinds, kind)(df, roles=roles), order_by, descending, limit)
 
 
 def compare_datasets(
-    data: DataFrame, kind: str, labels: Sequence[str] = (), roles: Roles = Roles(), **options: Any
+    data: DataFrame, kind: str, labels: Sequence[str] = (), roles: Roles = Roles(), order_by: str | None = None,
+    descending: bool = False, limit: int | None = None, **options: Any,
 ) -> DataFrame:
-    """mutation_frequency, variant_overlap, sample_statistics or summary."""
+    """mutation_frequency, variant_overlap, sample_statistics or summary; optionally sorted and cut."""
     kinds = {
         "mutation_frequency": lambda: compare.gene_frequencies(data, labels, roles=roles, **options),
         "variant_overlap": lambda: compare.variant_overlap(data, roles=roles, **options),
         "sample_statistics": lambda: compare.sample_statistics(data, roles),
         "summary": lambda: compare.dataset_summary(data, roles),
     }
-    return _choose(kinds, kind)()
+    return _ordered(_choose(kinds, kind)(), order_by, descending, limit)
 
 
 def pathway_analysis(
@@ -120,9 +142,20 @@ def pathway_analysis(
     pathway_id: str | None = None,
     name_contains: str | None = None,
     roles: Roles = Roles(),
+    order_by: str | None = None,
+    descending: bool = False,
+    limit: int | None = None,
     **options: Any,
 ) -> DataFrame:
-    """enrichment, pathway_genes or gene_pathways; arguments are checked together."""
+    """enrichment, pathway_genes or gene_pathways; arguments are checked together.  Optionally sorted and cut."""
+    found = _pathway_rows(kind, association, pathways, df, genes, pathway_id, name_contains, roles, options)
+    return _ordered(found, order_by, descending, limit)
+
+
+def _pathway_rows(
+    kind: str, association: DataFrame, pathways: DataFrame, df: DataFrame | None, genes: Sequence[str],
+    pathway_id: str | None, name_contains: str | None, roles: Roles, options: Mapping[str, Any],
+) -> DataFrame:
     if kind == "enrichment":
         if df is None or not genes:
             raise BadRequest("enrichment needs a table and a gene list")
@@ -146,13 +179,17 @@ def gene_network(
     partners: Sequence[str] = (),
     hops: int = 2,
     limit: int | None = None,
+    order_by: str | None = None,
+    descending: bool = False,
     **options: Any,
 ) -> DataFrame:
-    """direct_partners, neighbors, shortest_path or common_partners."""
+    """direct_partners, neighbors, shortest_path or common_partners; optionally sorted and cut."""
     if not genes:
         raise BadRequest("a gene list is needed")
     if kind == "direct_partners":
         found = graph.direct_partners(edges, genes, **options)
+        if order_by:
+            return _ordered(found, order_by, descending, limit)
         return graph.best_partners(found, limit) if limit else found
     if kind == "neighbors":
         out, key = graph.neighbours(edges, genes, hops, **options), ["distance", "gene"]
@@ -165,21 +202,23 @@ def gene_network(
         out, key = graph.common_partners(edges, genes, **options), ["common_partner"]
     else:
         raise BadRequest(f"unknown network analysis {kind!r}")
+    if order_by:
+        return _ordered(out, order_by, descending, limit)
     return ordering.top(out, limit, [col(k).asc() for k in key]) if limit else out
 
 
 def protein_mapping(
     df: DataFrame, kind: str, domains: DataFrame | None = None, genes: Sequence[str] | None = None,
-    roles: Roles = Roles(), **options: Any,
+    roles: Roles = Roles(), order_by: str | None = None, descending: bool = False, limit: int | None = None, **options: Any,
 ) -> DataFrame:
-    """domain_mapping, hotspots or domain_enrichment."""
+    """domain_mapping, hotspots or domain_enrichment; optionally sorted and cut."""
     rows = flt.genes_in(df, genes, roles) if genes else df
     if kind == "hotspots":
-        return position.greedy_hotspots(rows, roles=roles, **options)
+        return _ordered(position.greedy_hotspots(rows, roles=roles, **options), order_by, descending, limit)
     if domains is None:
         raise BadRequest(f"{kind} needs the domain table")
     kinds = {"domain_mapping": position.map_to_domains, "domain_enrichment": position.domain_enrichment}
-    return _choose(kinds, kind)(rows, domains, roles=roles, **options)
+    return _ordered(_choose(kinds, kind)(rows, domains, roles=roles, **options), order_by, descending, limit)
 
 
 def sample_metrics(

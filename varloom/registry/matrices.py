@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varloom.functions import genomics, stats
-from varloom.operators import matrix, metrics, ordering
+from varloom.operators import matrix, metrics, ordering, search
 from varloom.plans import reports
 from varloom.registry.core import query
 from varloom.registry.fixtures import ROLES, cells, sql, table, variants
@@ -132,10 +132,10 @@ def f1(spark, sf):
     "SELECT variant_id, start_pos FROM variants ORDER BY start_pos DESC, variant_id LIMIT 500 OFFSET 30000"
 ))
 def f2_deep(spark, sf):
-    v = variants(spark, sf).select("variant_id", "start_pos")
-    order = [F.col("start_pos").desc(), F.col("variant_id").asc()]
-    numbered = ordering.with_row_index(v, order, "row")
-    return numbered.filter(F.col("row").between(30000, 30499)).drop("row")
+    found = search.search(
+        variants(spark, sf), sort_by="start_pos", descending=True, page=61, page_size=500, roles=ROLES
+    )
+    return found.select("variant_id", F.col("start_pos").cast("bigint").alias("start_pos"))
 
 
 @query("f7_gene_order", sql(
@@ -228,6 +228,32 @@ def k14(spark, sf):
     return parts["matrix"].withColumn("types", F.array_join("types", ";"))
 
 
+_FEW = "('S1', 'S4', 'S10', 'S25', 'S40', 'S77')"
+
+
+@query("k14_gene_frequency_of_samples", sql(
+    f"""SELECT g.gene, count(DISTINCT (x.sample, x.alteration)) FILTER (x.sample IS NOT NULL) AS alterations,
+      count(DISTINCT x.sample) AS samples, round(count(DISTINCT x.sample)::DOUBLE / nullif((SELECT count(*) FROM allsamples
+        WHERE sample IN {_FEW}), 0), 8) AS sample_frequency
+    FROM (SELECT unnest(['G3', 'G11', 'G25', 'G40', 'G7', 'G18']) AS gene) g
+    LEFT JOIN (SELECT * FROM al WHERE sample IN {_FEW}) x ON x.gene = g.gene GROUP BY g.gene""", ctes=_ALTERED
+))
+def k14_frequency(spark, sf):
+    parts = reports.oncoplot_matrix(
+        variants(spark, sf), GENES, samples=["S1", "S4", "S10", "S25", "S40", "S77"], roles=ROLES
+    )
+    out = parts["genes"].select("gene", "alterations", "samples", "sample_frequency")
+    return out.withColumn("sample_frequency", stats.rounded(F.col("sample_frequency"), 8))
+
+
+@query("k14_mutation_details", sql(
+    f"""SELECT v.variant_id, v.gene, v.tumor_sample_barcode AS sample, v.variant_type, v.variant_class, v.protein_change,
+      v.chrom AS chromosome, v.start_pos AS position FROM variants v WHERE v.gene IN {_IN}"""
+))
+def k14_details(spark, sf):
+    return reports.oncoplot_matrix(variants(spark, sf), GENES, roles=ROLES)["details"]
+
+
 _WIDE = "wide AS (SELECT gene AS \"Gene\", " + ", ".join(
     f"CAST(coalesce(max(CASE WHEN tumor_sample_barcode = '{s}' THEN code END), 0) AS INTEGER) AS {s}" for s in ("S1", "S2", "S4", "S5")
 ) + " FROM cells GROUP BY gene)"

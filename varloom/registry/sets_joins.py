@@ -265,7 +265,7 @@ def _fisher_sql(select: str, tail: str = "") -> str:
     ),
 )
 def c16(spark, sf):
-    scores = co.pairwise_fisher(_nonsense(spark, sf), roles=ROLES, blocks=(1, 1))
+    scores = co.pairwise_fisher(_nonsense(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
     grid = co.gene_grid(scores, _HEAT_GENES).join(scores, ["gene1", "gene2"], "left")
     return grid.select(
         "gene1", "gene2", stats.rounded(F.coalesce("neg_log10_pval", F.lit(0.0)), 6).alias("score")
@@ -656,7 +656,7 @@ def _rounded_fisher(df):
 
 @query("d50_pairwise_fisher", _fisher_sql(_FISHER_ROWS))
 def d50(spark, sf):
-    return _rounded_fisher(co.pairwise_fisher(_nonsense(spark, sf), roles=ROLES))
+    return _rounded_fisher(co.pairwise_fisher(_nonsense(spark, sf), unobserved=True, roles=ROLES))
 
 
 @query("k17_pairwise_for_genes", _fisher_sql(_FISHER_ROWS, "WHERE a > 0"))
@@ -671,7 +671,7 @@ _HEAT = """SELECT x.g AS gene1, y.g AS gene2, round(coalesce(CASE WHEN odds < 1
 
 @query("d51_interaction_heatmap", _fisher_sql(_HEAT))
 def d51(spark, sf):
-    pairs = co.pairwise_fisher(_nonsense(spark, sf), roles=ROLES, blocks=(1, 1))
+    pairs = co.pairwise_fisher(_nonsense(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
     return co.interaction_heatmap(pairs, _HEAT_GENES).withColumn("value", stats.rounded(F.col("value"), 6))
 
 

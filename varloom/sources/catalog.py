@@ -43,13 +43,18 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ("table_name"
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def write_variant_table(df: DataFrame, path: str, files: int = 200, roles: Roles = Roles()) -> None:
+def write_variant_table(
+    df: DataFrame, path: str, files: int | None = None, roles: Roles = Roles(), rows_per_file: int = 5_000_000
+) -> None:
     """Variant table laid out for region reads.
 
     Partitioned by cohort and range-partitioned by position, so a cohort filter
     prunes folders and a region filter prunes files and row groups by their
-    min/max.  A large cohort is spread over many files by its positions.
+    min/max.  A large cohort is spread over many files by its positions.  The
+    number of files follows the number of rows unless it is given.
     """
+    if files is None:
+        files = max(1, -(-df.count() // rows_per_file))
     placed = df.repartitionByRange(files, roles.cohort, roles.chrom, roles.start)
     placed.sortWithinPartitions(roles.cohort, roles.chrom, roles.start).write.mode("errorifexists").partitionBy(
         roles.cohort

@@ -17,9 +17,6 @@ from pyspark.sql import types as T
 from varloom.roles import VARIANT_FILE_SCHEMA, col
 from varloom.sources.delimited import typed_positions
 
-# Folder pruning by value is given up above this many folders per batch.
-MAX_PRUNED = 1000
-
 
 def variant_stream(
     spark: SparkSession, folder: str, schema: T.StructType = VARIANT_FILE_SCHEMA, sep: str = "\t",
@@ -35,14 +32,14 @@ def ingest_available(
     stream: DataFrame,
     target: str,
     checkpoint: str,
-    key: Sequence[str] = ("variant_id",),
+    key: Sequence[str] = ("table_name", "variant_id"),
     partition_by: Sequence[str] = ("table_name",),
 ) -> None:
     """Append everything that has arrived and stop.
 
     Rows whose key is already stored are left out by an anti join with the
     earlier batches; the batch folder is the unit of retry.  With the cohort in
-    the key, only the cohorts of the batch are looked up.
+    the key, as by default, only the cohorts of the batch are looked up.
     """
     spark = stream.sparkSession
     out_schema = T.StructType([T.StructField("batch", T.LongType()), *stream.schema.fields])
@@ -54,11 +51,10 @@ def ingest_available(
         fresh = fresh.select(*[col(k) for k in key], "_rest.*").select(*[col(c) for c in batch.columns])
         if batch_id > 0:
             stored = spark.read.schema(out_schema).parquet(target).filter(F.col("batch") < batch_id)
-            for part in [p for p in partition_by if p in key]:
-                # one value per folder of the table; others cannot hold the key
-                values = [r[0] for r in batch.select(part).distinct().limit(MAX_PRUNED + 1).collect()]
-                if len(values) <= MAX_PRUNED:
-                    stored = stored.filter(col(part).isin(values))
+            parts = [p for p in partition_by if p in key]
+            if parts:
+                # other folders cannot hold the key; the semi join prunes them at run time
+                stored = stored.join(batch.select(*[col(p) for p in parts]).distinct(), parts, "left_semi")
             fresh = fresh.join(stored.select(*[col(k) for k in key]), list(key), "left_anti")
         fresh.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{target}/batch={batch_id}")
 
