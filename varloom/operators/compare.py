@@ -50,11 +50,15 @@ def _text(c: str):
 
 def dataset_summary(data: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Mutations, samples, genes and mutations per sample of each data set."""
-    out = data.groupBy(LABEL).agg(
-        F.count(F.lit(1)).alias("total_mutations"),
-        F.countDistinct(_text(roles.sample)).alias("total_samples"),
-        F.countDistinct(_text(roles.gene)).alias("unique_genes"),
+    # counted per sample and per gene first, so that no row is expanded
+    per_sample_rows = data.groupBy(LABEL, _text(roles.sample).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    samples = per_sample_rows.groupBy(LABEL).agg(
+        F.sum("n").alias("total_mutations"), F.count("s").alias("total_samples")
     )
+    genes = data.select(F.col(LABEL).alias("_label"), _text(roles.gene).alias("g")).distinct().groupBy("_label").agg(
+        F.count("g").alias("unique_genes")
+    )
+    out = samples.join(genes, F.col(LABEL).eqNullSafe(F.col("_label"))).drop("_label")
     per_sample = stats.rate(F.col("total_mutations"), F.col("total_samples"))
     return out.withColumn("mutation_rate", stats.rounded(per_sample, 4))
 
@@ -69,16 +73,18 @@ def _gene_counts(data: DataFrame, labels: Sequence[str], roles: Roles) -> DataFr
     counts = rows.groupBy(_text(roles.gene).alias("gene"), LABEL).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct(_text(roles.sample)).alias("s")
     )
+    # one entry per label: all totals come from one aggregate, which goes through
+    # the next one so that the subquery is not copied into every use of it
+    per_label = rows.groupBy(LABEL).agg(F.countDistinct(_text(roles.sample)).alias("t"))
+    totals = per_label.agg(F.map_from_entries(F.collect_list(F.struct(LABEL, "t")))).scalar()
+    counts = counts.withColumn("_totals", totals)
     wide = []
     for name in labels:
         here = F.col(LABEL) == name
         wide.append(F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"{name}_count"))
         wide.append(F.coalesce(F.sum(F.when(here, F.col("s"))), F.lit(0)).alias(f"{name}_samples"))
-        # the number of samples goes through the aggregate, which keeps the
-        # subquery from being copied into every use of it
-        of_label = data.filter(F.col(LABEL) == name)
-        counts = counts.withColumn(f"{name}_total", of_label.agg(F.countDistinct(_text(roles.sample))).scalar())
-        wide.append(F.max(f"{name}_total").alias(f"{name}_total"))
+        total = F.element_at(F.first("_totals"), F.lit(name))
+        wide.append(F.coalesce(total, F.lit(0)).alias(f"{name}_total"))
     return counts.filter(F.col("gene").isNotNull()).groupBy("gene").agg(*wide)
 
 
@@ -135,16 +141,24 @@ def gene_union(data: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 def variant_overlap(data: DataFrame, min_datasets: int = 1, roles: Roles = Roles()) -> DataFrame:
     """Each distinct variant with the data sets that have it."""
-    key = genomics.variant_key(roles.chrom, roles.start, roles.ref, roles.alt)
     rows = data.filter(_text(roles.chrom).isNotNull() & col(roles.start).isNotNull())
-    first = F.min_by(
-        F.struct(col(roles.chrom).alias("chromosome"), col(roles.start).alias("position"), col(roles.gene).alias("gene"),
-                 col(roles.ref).alias("reference_allele"), col(roles.alt).alias("alternate_allele")),
-        F.struct(LABEL, col(roles.variant_id)),
+    ref, alt = _text(roles.ref), _text(roles.alt)
+    both = ref.isNotNull() & alt.isNotNull()
+    # a row per variant and data set first; lists and the text of the key are made of what is left
+    place = {"k_chrom": col(roles.chrom), "k_start": col(roles.start), "k_ref": F.when(both, ref), "k_alt": F.when(both, alt)}
+    details = F.struct(
+        col(roles.chrom).alias("chromosome"), col(roles.start).alias("position"), col(roles.gene).alias("gene"),
+        col(roles.ref).alias("reference_allele"), col(roles.alt).alias("alternate_allele"),
+    )
+    slim = rows.select(
+        *[c.alias(n) for n, c in place.items()], F.col(LABEL), F.struct(col(roles.variant_id).alias("id"), details.alias("v")).alias("r")
     )
-    out = rows.groupBy(key.alias("variant_key")).agg(
-        F.array_sort(F.collect_set(LABEL)).alias("present_in_datasets"), first.alias("v")
+    per_set = slim.groupBy(*place, LABEL).agg(F.min_by("r", "r.id").alias("r"))
+    out = per_set.groupBy(*place).agg(
+        F.array_sort(F.collect_list(LABEL)).alias("present_in_datasets"),
+        F.min_by("r.v", F.struct(LABEL, "r.id")).alias("v"),
     )
+    out = out.withColumn("variant_key", genomics.variant_key("k_chrom", "k_start", "k_ref", "k_alt"))
     out = out.withColumn("dataset_count", F.size("present_in_datasets")).filter(F.col("dataset_count") >= min_datasets)
     return out.select(
         "variant_key", "v.*", "present_in_datasets", "dataset_count",

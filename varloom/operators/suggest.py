@@ -75,8 +75,8 @@ def distinct_items(items: DataFrame) -> DataFrame:
 
 def validate_items(items: DataFrame, genelist: DataFrame, pathway: DataFrame) -> DataFrame:
     """Tell for every item whether it is a region, a gene, a pathway or unknown."""
-    names = genelist.select(F.upper("gene").alias("item"), "gene").dropDuplicates(["item"])
-    paths = pathway.select(F.upper("pathway_name").alias("item"), "pathway_name").dropDuplicates(["item"])
+    names = genelist.groupBy(F.upper("gene").alias("item")).agg(F.min("gene").alias("gene"))
+    paths = pathway.groupBy(F.upper("pathway_name").alias("item")).agg(F.min("pathway_name").alias("pathway_name"))
     region = text.is_region("item")
     kind = (
         F.when(region, "region")

@@ -328,6 +328,18 @@ def b24_tmb(spark, sf):
     return out.select("tumor_sample_barcode", "tmb")
 
 
+@query("k16_sample_metrics", sql(
+    """SELECT tumor_sample_barcode, tmb, mutation_count::DOUBLE AS mutation_count, 38.0::DOUBLE AS genome_size_mb FROM m
+    WHERE tmb >= 0.5 AND mutation_count <= 60 ORDER BY tmb DESC, tumor_sample_barcode LIMIT 50 OFFSET 50""", ctes=_TMB,
+))
+def k16_metrics(spark, sf):
+    stored = {metrics.metric_table("cohort", "tmb"): _metrics(spark, sf)}
+    return reports.sample_metrics(
+        stored["cohort_sample_tmb"], tmb_range=(0.5, None), count_range=(None, 60), sort_by="tmb", descending=True, page=2,
+        page_size=50,
+    )
+
+
 @query("k16_high_tmb_samples", sql(
     "SELECT tumor_sample_barcode, tmb, mutation_count, 38.0::DOUBLE AS genome_size_mb FROM m WHERE tmb >= 1.2 ORDER BY tmb DESC, tumor_sample_barcode LIMIT 30",
     ctes=_TMB,

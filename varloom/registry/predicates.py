@@ -394,11 +394,11 @@ def b35(spark, sf):
     return kept.select("gene_a", "gene_b", "confidence_score")
 
 
-@query("b36_distinct_genes", sql("SELECT DISTINCT gene FROM variants WHERE gene IS NOT NULL AND variant_type = 'DEL'"))
+@query("b36_distinct_genes", sql("SELECT DISTINCT gene FROM variants WHERE gene IS NOT NULL"))
 def b36(spark, sf):
     from varloom.operators import pathway
 
-    return pathway.mutated_genes(flt.apply(variants(spark, sf), _leaf("variant_type", "eq", "DEL")))
+    return pathway.mutated_genes(variants(spark, sf))
 
 
 @query("b37_genes_subset", sql("SELECT * FROM variants WHERE gene IN ('G2', 'G3', 'G44')"))

@@ -248,6 +248,15 @@ def e2(spark, sf):
     return prox.nearby_per_reference(_refs(v), v, Reach(60), 4, roles=ROLES).select(*_NEAREST_COLUMNS)
 
 
+@query(
+    "e2_nearest_k_large",
+    _nearest_sql("abs(q.start_pos - r.start_pos) BETWEEN 1 AND 900", "abs(q.start_pos - r.start_pos)", 1500),
+)
+def e2_large(spark, sf):
+    v = variants(spark, sf)
+    return prox.nearby_per_reference(_refs(v), v, Reach(900), 1500, roles=ROLES).select(*_NEAREST_COLUMNS)
+
+
 @query(
     "e2_first_k_by_column",
     _nearest_sql("abs(q.start_pos - r.start_pos) BETWEEN 1 AND 60", "q.variant_class DESC", 3),

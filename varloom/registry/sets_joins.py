@@ -9,7 +9,7 @@ from varloom.operators import cooccurrence as co
 from varloom.operators import graph, matrix, metrics, ordering, pathway, position, regions, search, sets, suggest
 from varloom.operators import aggregate as agg
 from varloom.operators import compare as cmp
-from varloom.plans import steps
+from varloom.plans import reports, steps
 from varloom.registry.core import query
 from varloom.registry.fixtures import ROLES, domains, edges, pathway_genes, pathways, sql, table, variants
 
@@ -202,19 +202,15 @@ def c13_region(spark, sf):
     return regions.in_gene_extents(v, regions.gene_coordinates(picked, ROLES), ROLES).select("variant_id")
 
 
-_NONSENSE = "n AS (SELECT DISTINCT gene, tumor_sample_barcode AS s FROM variants WHERE variant_class = 'Nonsense_Mutation')"
-
-
-def _nonsense(spark, sf):
-    return variants(spark, sf).filter(F.col("variant_class") == "Nonsense_Mutation")
+_CELLS = "n AS (SELECT DISTINCT gene, tumor_sample_barcode AS s FROM variants)"
 
 
 @query(
     "c14_gene_pairs",
-    sql("SELECT a.gene AS gene1, b.gene AS gene2 FROM (SELECT DISTINCT gene FROM n) a JOIN (SELECT DISTINCT gene FROM n) b ON a.gene < b.gene", ctes=_NONSENSE),
+    sql("SELECT a.gene AS gene1, b.gene AS gene2 FROM (SELECT DISTINCT gene FROM n) a JOIN (SELECT DISTINCT gene FROM n) b ON a.gene < b.gene", ctes=_CELLS),
 )
 def c14(spark, sf):
-    return co.all_pairs(co.gene_cells(_nonsense(spark, sf), roles=ROLES).select("gene"), blocks=3)
+    return co.all_pairs(co.gene_cells(variants(spark, sf), roles=ROLES).select("gene"), blocks=3)
 
 
 @query(
@@ -222,11 +218,11 @@ def c14(spark, sf):
     sql(
         """SELECT a.gene AS gene1, b.gene AS gene2, count(*) AS "both" FROM n a JOIN n b ON a.s = b.s AND a.gene < b.gene
         GROUP BY a.gene, b.gene""",
-        ctes=_NONSENSE,
+        ctes=_CELLS,
     ),
 )
 def c15(spark, sf):
-    return co.comutation_counts(co.gene_cells(_nonsense(spark, sf), roles=ROLES), blocks=(3, 4))
+    return co.comutation_counts(co.gene_cells(variants(spark, sf), roles=ROLES), blocks=(3, 4))
 
 
 _HEAT_GENES = ["G9", "G1", "G5", "G44", "G70"]
@@ -236,7 +232,7 @@ def _fisher_sql(select: str, tail: str = "") -> str:
     """All gene pairs with the 2x2 table and the exact two-sided p."""
     return sql(
         f"{select} {tail}",
-        ctes=_NONSENSE
+        ctes=_CELLS
         + """, g AS (SELECT gene, count(*) AS m FROM n GROUP BY gene),
         t AS (SELECT count(DISTINCT s) AS total FROM n),
         k AS (SELECT a.gene AS gene1, b.gene AS gene2, count(*) AS shared FROM n a JOIN n b ON a.s = b.s AND a.gene < b.gene
@@ -265,7 +261,7 @@ def _fisher_sql(select: str, tail: str = "") -> str:
     ),
 )
 def c16(spark, sf):
-    scores = co.pairwise_fisher(_nonsense(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
+    scores = co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
     grid = co.gene_grid(scores, _HEAT_GENES).join(scores, ["gene1", "gene2"], "left")
     return grid.select(
         "gene1", "gene2", stats.rounded(F.coalesce("neg_log10_pval", F.lit(0.0)), 6).alias("score")
@@ -277,11 +273,11 @@ def c16(spark, sf):
     sql(
         """SELECT gene, count(*) FILTER (table_name = 'cohort_0') AS cohort_0_count,
         count(*) FILTER (table_name = 'cohort_1') AS cohort_1_count FROM variants
-        WHERE table_name IN ('cohort_0', 'cohort_1') AND variant_type = 'INS' GROUP BY gene"""
+        WHERE table_name IN ('cohort_0', 'cohort_1') GROUP BY gene"""
     ),
 )
 def c17(spark, sf):
-    data = cmp.cohorts(variants(spark, sf).filter("variant_type = 'INS'"), roles=ROLES)
+    data = cmp.cohorts(variants(spark, sf), roles=ROLES)
     out = cmp.gene_frequencies(data, ["cohort_0", "cohort_1"], roles=ROLES)
     return out.select("gene", "cohort_0_count", "cohort_1_count")
 
@@ -359,7 +355,8 @@ def c22(spark, sf):
     ),
 )
 def c22_pairs(spark, sf):
-    return co.exclusive_pairs(_nonsense(spark, sf).filter("variant_type = 'INS'"), roles=ROLES)
+    rows = variants(spark, sf).filter("variant_class = 'Nonsense_Mutation' AND variant_type = 'INS'")
+    return co.exclusive_pairs(rows, roles=ROLES)
 
 
 # --- G: set operations -----------------------------------------------------
@@ -376,19 +373,19 @@ def g1(spark, sf):
 
 @query(
     "g2_gene_union",
-    sql("SELECT DISTINCT gene FROM variants WHERE table_name IN ('cohort_0', 'cohort_2') AND variant_type = 'DEL'"),
+    sql("SELECT DISTINCT gene FROM variants WHERE table_name IN ('cohort_0', 'cohort_2')"),
 )
 def g2(spark, sf):
-    v = variants(spark, sf).filter("variant_type = 'DEL'")
+    v = variants(spark, sf)
     return cmp.gene_union(cmp.cohorts(v, ["cohort_0", "cohort_2"], ROLES), ROLES)
 
 
 def _sample_lists(spark, sf):
-    v = variants(spark, sf).filter("variant_class = 'Nonsense_Mutation'")
+    v = variants(spark, sf)
     return [v.filter(F.col("variant_type") == t).select("tumor_sample_barcode") for t in ("INS", "DEL")]
 
 
-_LIST = "SELECT tumor_sample_barcode FROM variants WHERE variant_class = 'Nonsense_Mutation' AND variant_type = '{}'"
+_LIST = "SELECT tumor_sample_barcode FROM variants WHERE variant_type = '{}'"
 
 
 @query("g3_intersect", sql(f"{_LIST.format('INS')} INTERSECT {_LIST.format('DEL')}"))
@@ -635,12 +632,29 @@ def f11(spark, sf):
     return ordering.sort_nulls_as_zero(out, "genes_in_input", ["pathway_id"], True, 5).select("pathway_id", "genes_in_input")
 
 
+@query(
+    "k12_sorted_enrichment",
+    sql(
+        """SELECT pathway_id, a AS genes_in_input, round(p, 8) AS p_value FROM e ORDER BY a DESC, pathway_id LIMIT 4""",
+        "variants", "pathways", ctes=_ENRICHMENT,
+    ),
+)
+def k12_sorted(spark, sf):
+    v = variants(spark, sf)
+    asked = sets.top_groups(v.filter("variant_class = 'Nonsense_Mutation'"), "gene", 12)
+    out = reports.pathway_analysis(
+        "enrichment", pathway_genes(spark, sf), pathways(spark, sf), v, asked, roles=ROLES,
+        order_by="genes_in_input", descending=True, limit=4, min_genes=2,
+    )
+    return out.select("pathway_id", "genes_in_input", stats.rounded(F.col("p_value"), 8).alias("p_value"))
+
+
 # --- pairwise statistics ---------------------------------------------------
 
 
 @query("d49_pair_tables", _fisher_sql("SELECT gene1, gene2, a, b, c, d FROM pairs"))
 def d49(spark, sf):
-    return co.pair_tables(co.gene_cells(_nonsense(spark, sf), roles=ROLES), unobserved=True)
+    return co.pair_tables(co.gene_cells(variants(spark, sf), roles=ROLES), unobserved=True)
 
 
 _FISHER_ROWS = """SELECT gene1, gene2, round(p, 8) AS p_value, round(odds, 6) AS odds_ratio, round(-log10(p), 6) AS neg_log10_pval FROM pairs"""
@@ -656,12 +670,12 @@ def _rounded_fisher(df):
 
 @query("d50_pairwise_fisher", _fisher_sql(_FISHER_ROWS))
 def d50(spark, sf):
-    return _rounded_fisher(co.pairwise_fisher(_nonsense(spark, sf), unobserved=True, roles=ROLES))
+    return _rounded_fisher(co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES))
 
 
 @query("k17_pairwise_for_genes", _fisher_sql(_FISHER_ROWS, "WHERE a > 0"))
 def k17(spark, sf):
-    return _rounded_fisher(co.pairwise_fisher(_nonsense(spark, sf), unobserved=False, roles=ROLES, blocks=(2, 3)))
+    return _rounded_fisher(co.pairwise_fisher(variants(spark, sf), unobserved=False, roles=ROLES, blocks=(2, 3)))
 
 
 _HEAT = """SELECT x.g AS gene1, y.g AS gene2, round(coalesce(CASE WHEN odds < 1 THEN log10(p) ELSE -log10(p) END, 0), 6) AS value FROM
@@ -671,7 +685,7 @@ _HEAT = """SELECT x.g AS gene1, y.g AS gene2, round(coalesce(CASE WHEN odds < 1
 
 @query("d51_interaction_heatmap", _fisher_sql(_HEAT))
 def d51(spark, sf):
-    pairs = co.pairwise_fisher(_nonsense(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
+    pairs = co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
     return co.interaction_heatmap(pairs, _HEAT_GENES).withColumn("value", stats.rounded(F.col("value"), 6))
 
 
@@ -683,7 +697,7 @@ def d51(spark, sf):
     ),
 )
 def h18(spark, sf):
-    t = co.pair_tables(co.gene_cells(_nonsense(spark, sf), roles=ROLES), unobserved=True)
+    t = co.pair_tables(co.gene_cells(variants(spark, sf), roles=ROLES), unobserved=True)
     cells = [F.col(x) for x in "abcd"]
     t = t.withColumn("p", stats.fisher_two_sided(*cells)).withColumn("odds", stats.odds_ratio(*cells))
     score = stats.neg_log10(F.col("p"))

@@ -75,7 +75,7 @@ def e4_sliding(spark, sf):
     return position.sliding_windows(variants(spark, sf), 50, 25, chunk=1000, roles=ROLES)
 
 
-_HOTSPOTS = f"""pts AS (SELECT gene, {_RESIDUE} AS pos, count(*) AS n FROM variants WHERE variant_class = 'Missense_Mutation'
+_HOTSPOTS = f"""pts AS (SELECT gene, {_RESIDUE} AS pos, count(*) AS n FROM variants
     GROUP BY ALL),
   w AS (SELECT gene, pos, n, sum(n) OVER (PARTITION BY gene ORDER BY pos RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead,
     min(pos) OVER (PARTITION BY gene) AS first_pos FROM pts),
@@ -94,7 +94,7 @@ _HOTSPOTS = f"""pts AS (SELECT gene, {_RESIDUE} AS pos, count(*) AS n FROM varia
     GROUP BY hot.gene, hotspot_start""", ctes=_HOTSPOTS,
 ).replace("WITH ", "WITH RECURSIVE ", 1))
 def e4(spark, sf):
-    rows = variants(spark, sf).filter("variant_class = 'Missense_Mutation'")
+    rows = variants(spark, sf)
     out = position.greedy_hotspots(rows, 10, 6, ROLES)
     for c in ("positions", "position_counts"):
         out = out.withColumn(c, F.array_join(F.col(c).cast("array<string>"), ","))
@@ -114,11 +114,22 @@ def d41(spark, sf):
 
 @query("k9_position_analysis", sql(
     """SELECT chrom AS chromosome, start_pos // 1000 * 1000 AS bin_start, start_pos // 1000 * 1000 + 1000 AS bin_end, count(*) AS
-    mutation_count, round(count(*) / 1000.0::DOUBLE * 1000, 3) AS density FROM variants WHERE variant_type = 'DEL'
+    mutation_count, round(count(*) / 1000.0::DOUBLE * 1000, 3) AS density FROM variants
     GROUP BY chrom, start_pos // 1000"""
 ))
 def k9(spark, sf):
-    return reports.position_analysis(variants(spark, sf).filter("variant_type = 'DEL'"), "density", ROLES, bin_size=1000)
+    return reports.position_analysis(variants(spark, sf), "density", ROLES, bin_size=1000)
+
+
+@query("k9_sorted_density", sql(
+    """SELECT chrom AS chromosome, start_pos // 1000 * 1000 AS bin_start, count(*) AS mutation_count FROM variants
+    GROUP BY chrom, start_pos // 1000 ORDER BY mutation_count DESC, chromosome, bin_start LIMIT 25"""
+))
+def k9_sorted(spark, sf):
+    out = reports.position_analysis(
+        variants(spark, sf), "density", ROLES, order_by="mutation_count", descending=True, limit=25, bin_size=1000
+    )
+    return out.select("chromosome", "bin_start", "mutation_count")
 
 
 @query("k15_protein_mapping", sql(
@@ -248,15 +259,15 @@ def d37(spark, sf):
 _TWO = """c AS (SELECT gene, count(*) FILTER (table_name = 'cohort_0') AS x, count(*) FILTER (table_name = 'cohort_1') AS y,
     count(DISTINCT CASE WHEN table_name = 'cohort_0' THEN tumor_sample_barcode END) AS sx,
     count(DISTINCT CASE WHEN table_name = 'cohort_1' THEN tumor_sample_barcode END) AS sy
-    FROM variants WHERE variant_class = 'Nonsense_Mutation' GROUP BY gene),
+    FROM variants GROUP BY gene),
   t AS (SELECT count(DISTINCT CASE WHEN table_name = 'cohort_0' THEN tumor_sample_barcode END) AS tx,
     count(DISTINCT CASE WHEN table_name = 'cohort_1' THEN tumor_sample_barcode END) AS ty
-    FROM variants WHERE variant_class = 'Nonsense_Mutation'),
+    FROM variants),
   ct AS (SELECT * FROM c CROSS JOIN t WHERE x + y > 0)"""
 
 
 def _two(spark, sf):
-    v = variants(spark, sf).filter("variant_class = 'Nonsense_Mutation'")
+    v = variants(spark, sf)
     return cmp.cohorts(v, ["cohort_0", "cohort_1"], ROLES), ["cohort_0", "cohort_1"]
 
 
@@ -295,10 +306,17 @@ def d53(spark, sf):
     return out.select("gene", stats.rounded(F.col("chi_square"), 8).alias("chi_square"))
 
 
-@query("d53_chi_square_p")
+# p = erfc(sqrt(x / 2)): Simpson's rule over exp(-t * t) from there to 8 further on, in 2000 steps
+@query("d53_chi_square_p", sql(
+    """SELECT gene, round(2 / sqrt(pi()) * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * exp(-power(z + i * 0.004::DOUBLE, 2))) * 0.004::DOUBLE / 3, 8) AS p_value
+    FROM (SELECT gene, sqrt((power(sx - e1, 2) / e1 + power(sy - e2, 2) / e2) / 2) AS z FROM (SELECT gene, sx, sy,
+      (sx + sy) * tx::DOUBLE / (tx + ty) AS e1, (sx + sy) * ty::DOUBLE / (tx + ty) AS e2 FROM ct) x) y,
+      unnest(generate_series(0, 2000)) AS u(i) GROUP BY gene""", ctes=_TWO
+))
 def d53_p(spark, sf):
     out = cmp.gene_frequencies(*_two(spark, sf), test="chi_square", roles=ROLES)
-    return out.select("gene", "chi_square", "p_value")
+    return out.select("gene", stats.rounded(F.col("p_value"), 8).alias("p_value"))
 
 
 @query("d39_variant_overlap", sql(

@@ -64,7 +64,7 @@ def domain_table(records: DataFrame) -> DataFrame:
 
 def with_domain_names(domains: DataFrame, names: DataFrame) -> DataFrame:
     """Add the domain's name, or its id where no name is known."""
-    known = names.select("pfam_id", F.col("name").alias("_name")).dropDuplicates(["pfam_id"])
+    known = names.groupBy("pfam_id").agg(F.min("name").alias("_name"))
     joined = domains.join(known, "pfam_id", "left")
     return joined.withColumn("domain_name", F.coalesce("_name", "pfam_id")).drop("_name")
 
