@@ -151,6 +151,40 @@ FROM (SELECT DISTINCT l_partkey % 50 AS n FROM lineitem) g
 """
 
 
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of part-supplier pairs, with as many nodes as there are parts."""
+    line = table(spark, sf_dir, "lineitem")
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    last = line.agg(F.max("l_partkey")).scalar()
+    return line.select("l_partkey", "l_suppkey").distinct().select(
+        _gene(part).alias("gene_a"), _gene((part * 7 + supplier * 13) % last + 1).alias("gene_b"),
+        F.lit("physical").alias("interaction_type"),
+        (((part * 37 + supplier) % 100).cast("double") / 100).alias("confidence_score"),
+    )
+
+
+PART_EDGES = """
+SELECT 'G' || CAST(l_partkey AS VARCHAR) AS gene_a,
+  'G' || CAST((l_partkey * 7 + l_suppkey * 13) % (SELECT max(l_partkey) FROM lineitem) + 1 AS VARCHAR) AS gene_b,
+  'physical' AS interaction_type, CAST((l_partkey * 37 + l_suppkey) % 100 AS DOUBLE) / 100 AS confidence_score
+FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) g
+"""
+
+
+def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene, sample) with a gene per part and a sample per customer."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
+    return rows.select(_gene(F.col("l_partkey")).alias("gene"), F.concat(F.lit("S"), "o_custkey").alias("sample")).distinct()
+
+
+PART_CELLS = """
+SELECT DISTINCT 'G' || CAST(l_partkey AS VARCHAR) AS gene, 'S' || CAST(o_custkey AS VARCHAR) AS sample
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+
+
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three domains per gene, which do not overlap."""
     g, n = gene_numbers(spark, sf_dir), F.col("n")
@@ -206,6 +240,8 @@ _PARTS = {
     "pathway_genes": PATHWAY_GENES,
     "pathways": PATHWAYS,
     "edges": EDGES,
+    "part_edges": PART_EDGES,
+    "part_cells": PART_CELLS,
     "domains": DOMAINS,
     "cells": CELLS,
 }

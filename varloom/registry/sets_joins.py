@@ -11,7 +11,7 @@ from varloom.operators import aggregate as agg
 from varloom.operators import compare as cmp
 from varloom.plans import reports, steps
 from varloom.registry.core import query
-from varloom.registry.fixtures import ROLES, domains, edges, pathway_genes, pathways, sql, table, variants
+from varloom.registry.fixtures import ROLES, domains, edges, part_cells, part_edges, pathway_genes, pathways, sql, table, variants
 
 # --- C: joins --------------------------------------------------------------
 
@@ -549,6 +549,57 @@ def j4(spark, sf):
     )
 
 
+# The same walks over a network whose nodes and edges grow with the tables.
+_PART_LINKS = """l AS (SELECT gene_a AS gene, gene_b AS partner FROM part_edges WHERE confidence_score >= {0} AND gene_a <> gene_b
+    UNION SELECT gene_b, gene_a FROM part_edges WHERE confidence_score >= {0} AND gene_a <> gene_b)"""
+
+
+@query(
+    "j3_neighbourhood_of_parts",
+    sql(
+        """SELECT gene, CAST(min(distance) AS INTEGER) AS distance FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2) x
+        WHERE gene NOT IN ('G1', 'G7') GROUP BY gene""",
+        "part_edges",
+        ctes=_PART_LINKS.format(0.9)
+        + """, d1 AS (SELECT DISTINCT partner AS gene, 1 AS distance FROM l WHERE gene IN ('G1', 'G7')),
+        d2 AS (SELECT DISTINCT partner AS gene, 2 AS distance FROM l WHERE gene IN (SELECT gene FROM d1))""",
+    ),
+)
+def j3_parts(spark, sf):
+    return graph.neighbours(part_edges(spark, sf), ["G1", "G7"], 2, min_confidence=0.9).select("gene", "distance")
+
+
+@query(
+    "j4_shortest_paths_of_parts",
+    sql(
+        """SELECT source_gene, target_gene, array_to_string(path, '>') AS path FROM (
+          SELECT source_gene, target_gene, path, row_number() OVER (PARTITION BY source_gene, target_gene ORDER BY len(path), path) AS rn
+          FROM p WHERE target_gene IN ('G20', 'G33', 'G4') AND source_gene <> target_gene) x WHERE rn = 1""",
+        "part_edges",
+        ctes=_PART_LINKS.format(0.0)
+        + """, p1 AS (SELECT gene AS source_gene, partner AS target_gene, [gene, partner] AS path FROM l WHERE gene IN ('G1', 'G7', 'G20')),
+        p2 AS (SELECT source_gene, partner AS target_gene, list_append(path, partner) AS path FROM p1 JOIN l ON target_gene = gene
+          WHERE NOT list_contains(path, partner)),
+        p AS (FROM p1 UNION ALL FROM p2)""",
+    ),
+)
+def j4_parts(spark, sf):
+    out = graph.shortest_paths(part_edges(spark, sf), ["G1", "G7", "G20"], ["G20", "G33", "G4"], 2)
+    return out.select("source_gene", "target_gene", F.array_join("path", ">").alias("path"))
+
+
+@query(
+    "c15_comutation_of_parts",
+    sql(
+        """SELECT a.gene AS gene1, b.gene AS gene2, count(*) AS "both" FROM part_cells a JOIN part_cells b
+        ON a.sample = b.sample AND a.gene < b.gene GROUP BY a.gene, b.gene""",
+        "part_cells",
+    ),
+)
+def c15_parts(spark, sf):
+    return co.comutation_counts(part_cells(spark, sf))
+
+
 @query(
     "j5_common_partners",
     sql(
