@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from conftest import rows
@@ -157,6 +159,21 @@ def test_large_top_per_group_is_cut_in_subgroups(spark):
     assert got == sorted((g, v) for g, vs in by.items() for v in vs)
 
 
+def test_region_table_of_all_widths(spark):
+    from varloom.operators import regions
+
+    rng = random.Random(8)
+    rows = [(f"v{i}", rng.choice(["chr1", "1", "chrX"]), s := rng.randrange(1, 6_000_000), s + rng.choice([0, 0, 3, 9000, 1_500_000])) for i in range(1500)]
+    table = [("1", 2_000_000, 4_999_999), ("chr1", 3_000_000, 3_000_000), ("CHRX", 1_048_576, 2_097_151), ("x", 50, None), ("chrX", 5_000_000, 5_004_000)]
+    df = spark.createDataFrame(rows, "variant_id string, chrom string, start bigint, end bigint")
+    found = regions.in_region_table(df, spark.createDataFrame(table, "chromosome string, start bigint, end bigint"))
+    plain = lambda c: c.upper().removeprefix("CHR")
+    want = [v for v, c, s, e in rows if any(plain(c) == plain(d) and s <= (y or x) and e >= x for d, x, y in table)]
+    got = [r["variant_id"] for r in found.collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < len(rows)
+    assert found.columns == df.columns
+
+
 def test_regions_reach_the_scan(spark, tmp_path):
     from varloom.operators import regions
     from varloom.sources import catalog

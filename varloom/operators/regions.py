@@ -17,8 +17,10 @@ from varloom.roles import Roles, col, first_existing
 
 Region = Mapping[str, Any]
 
-# A region table is cut into blocks of 2**12 bases for the equi-join.
+# A region table is cut into blocks of 2**12 bases for the equi-join, and into
+# blocks of 2**20 where a region covers these in full.
 REGION_BLOCK_BITS = 12
+WIDE_BLOCK_BITS = 20
 
 
 #: Names with more letters than this have too many spellings to list.
@@ -77,32 +79,65 @@ def in_regions(df: DataFrame, regions: Sequence[Region] | None, roles: Roles = R
 def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """As :func:`in_regions` for a table of regions (chromosome, start, end).
 
-    Regions are cut at block borders, so the semi join has an equality key, and
-    pieces with the same start are merged into the longest: however many
-    regions share a block, a row is compared with at most one piece per base of
-    it.  A row inside one block is matched there; the few rows that cross a
-    border are spread over their blocks and merged again by variant id.
+    Regions are cut at block borders, so the semi join has an equality key.  What
+    a region covers of wide blocks in full is kept as wide blocks; only its ends are
+    cut into narrow ones, so a whole chromosome takes some hundred pieces.  Pieces
+    with the same start are merged into the longest: however many regions share a
+    block, a row is compared with at most one piece per base of it.  A row inside one
+    narrow block matches at one of the two widths; the few rows that cross a border
+    are spread over their blocks and merged again by variant id.
     """
-    bits = REGION_BLOCK_BITS
-    span = F.sequence(F.shiftright("r_start", bits), F.shiftright("r_end", bits))
+    bits, wide = REGION_BLOCK_BITS, WIDE_BLOCK_BITS
     block_first = F.shiftleft("r_block", bits)
-    cut = (
-        regions.select(
-            text.chromosome("chromosome").alias("r_chrom"),
-            col("start").cast("bigint").alias("r_start"),
-            F.coalesce(col("end"), col("start")).cast("bigint").alias("r_end"),
-        )
-        .distinct()
+    whole = regions.select(
+        text.chromosome("chromosome").alias("r_chrom"),
+        col("start").cast("bigint").alias("r_start"),
+        F.coalesce(col("end"), col("start")).cast("bigint").alias("r_end"),
+    ).distinct()
+    # wide blocks [w_first, w_stop) are covered in full
+    whole = whole.withColumn("w_first", F.shiftright(F.col("r_start") + ((1 << wide) - 1), wide)).withColumn(
+        "w_stop", F.shiftright(F.col("r_end") + 1, wide)
+    )
+    covers = F.col("w_first") < F.col("w_stop")
+    full = whole.filter(covers).select(
+        "r_chrom", F.explode(F.sequence("w_first", F.col("w_stop") - 1)).alias("w_block")
+    ).distinct()
+    left_end, right_start = F.shiftleft("w_first", wide) - 1, F.shiftleft("w_stop", wide)
+
+    def piece(low: Column, high: Column) -> Column:
+        return F.struct(low.alias("r_start"), high.alias("r_end"))
+
+    ends = F.array_compact(F.array(
+        F.when(~covers, piece(F.col("r_start"), F.col("r_end"))),
+        F.when(covers & (F.col("r_start") <= left_end), piece(F.col("r_start"), left_end)),
+        F.when(covers & (right_start <= F.col("r_end")), piece(right_start, F.col("r_end"))),
+    ))
+    span = F.sequence(F.shiftright("r_start", bits), F.shiftright("r_end", bits))
+    narrow = (
+        whole.select("r_chrom", F.explode(ends).alias("e")).select("r_chrom", "e.r_start", "e.r_end")
         .withColumn("r_block", F.explode(span))
         .groupBy("r_chrom", "r_block", F.greatest("r_start", block_first).alias("r_start"))
         .agg(F.max(F.least("r_end", block_first + ((1 << bits) - 1))).alias("r_end"))
+        .withColumn("w_block", F.shiftright("r_block", wide - bits))
+        # a block that another region covers in full needs no narrow pieces
+        .join(full, ["r_chrom", "w_block"], "left_anti")
+        .select("r_chrom", F.lit(bits).alias("r_bits"), "r_block", "r_start", "r_end")
     )
+    w_first = F.shiftleft("w_block", wide)
+    cut = narrow.unionByName(full.select(
+        "r_chrom", F.lit(wide).alias("r_bits"), F.col("w_block").alias("r_block"), w_first.alias("r_start"),
+        (w_first + ((1 << wide) - 1)).alias("r_end"),
+    ))
     end = roles.end or roles.start
-    first, last = F.shiftright(col(roles.start), bits), F.shiftright(col(end), bits)
+
+    def blocks(b: int) -> Column:
+        touched = F.sequence(F.shiftright(col(roles.start), b), F.shiftright(col(end), b))
+        return F.transform(touched, lambda x: F.struct(F.lit(b).alias("_bits"), x.alias("_block")))
 
     def hits(side: DataFrame) -> DataFrame:
         on = (
             (side["_chrom"] == cut["r_chrom"])
+            & (side["_bits"] == cut["r_bits"])
             & (side["_block"] == cut["r_block"])
             & (col(roles.start) <= cut["r_end"])
             & (col(end) >= cut["r_start"])
@@ -110,10 +145,15 @@ def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -
         return side.join(cut, on, "left_semi")
 
     keyed = df.withColumn("_chrom", text.chromosome(roles.chrom))
-    inside = keyed.filter(first == last).withColumn("_block", first)
-    across = keyed.filter(first != last).withColumn("_block", F.explode(F.sequence(first, last)))
+    one_block = F.shiftright(col(roles.start), bits) == F.shiftright(col(end), bits)
+    own = F.array(*[
+        F.struct(F.lit(b).alias("_bits"), F.shiftright(col(roles.start), b).alias("_block")) for b in (bits, wide)
+    ])
+    every = F.concat(blocks(bits), blocks(wide))
+    inside = keyed.filter(one_block).select("*", F.inline(own))
+    across = keyed.filter(~one_block).select("*", F.inline(every))
     kept = hits(inside).unionByName(hits(across).dropDuplicates([roles.variant_id]))
-    return kept.drop("_chrom", "_block")
+    return kept.drop("_chrom", "_bits", "_block")
 
 
 def detect_roles(df: DataFrame, roles: Roles = Roles()) -> Roles:
