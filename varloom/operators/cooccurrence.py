@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import stats
-from varloom.operators.filters import BadRequest
+from varloom.operators.ordering import checkpointed
 from varloom.roles import Roles, col
 
 # Expected size of one block; a task then holds a matrix of a few megabytes.
@@ -105,8 +105,10 @@ def all_pairs(genes: DataFrame, blocks: int = 16) -> DataFrame:
 def pair_tables(cells: DataFrame, unobserved: bool = False, blocks: tuple[int, int] | None = None) -> DataFrame:
     """2x2 table (a both, b first only, c second only, d neither) per pair.
 
-    ``unobserved`` adds the pairs that never share a sample.
+    ``unobserved`` adds the pairs that never share a sample.  The cells are
+    checkpointed, as counts, margins and total are all made of them.
     """
+    cells = checkpointed(cells)
     counts = comutation_counts(cells, blocks)
     if unobserved:
         pairs = all_pairs(cells.select("gene"))
