@@ -72,7 +72,7 @@ def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) -
     at = 0
     while at < len(filled):  # some texts at a time, as the votes take 64 bytes a run
         base = first_run[filled[at]]
-        stop = max(at + 1, int(np.searchsorted(first_run[filled] + per_text[filled], base + (1 << 18), side="right")))
+        stop = max(at + 1, int(np.searchsorted(first_run[filled] + per_text[filled], base + (1 << 16), side="right")))
         rows = filled[at:stop]
         part = hashes[base : first_run[rows[-1]] + per_text[rows[-1]]]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row of ``docs``; fp is the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             fp = text_fingerprints(texts_of(batch.column("text"))).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
