@@ -42,8 +42,8 @@ from varloom.llm.common import slices, stored, texts_of, words_of
 
 ORDER = 2
 GOOD_TURING = 5
-CHUNK_BYTES = 12 << 20
-BUCKET_ENTRIES = 2_000_000
+CHUNK_BYTES = 8 << 20
+BUCKET_ENTRIES = 1_000_000
 SPARE = 1e-4
 
 _SEED = 42
@@ -145,6 +145,7 @@ class Chunk:
         at = np.arange(len(self.codes)) + pad * (self.owner + 1)
         padded = np.full(len(self.codes) + pad * len(self.lengths), START)
         padded[at] = self.words[self.codes]
+        # every order's keys are kept, as the longer ones are made of the shorter
         self.grams = {1: padded}
         for k in range(2, order + 1):
             history = np.concatenate([[START], self.grams[k - 1][:-1]])
