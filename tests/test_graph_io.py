@@ -170,3 +170,25 @@ def test_ingest_skips_what_is_stored_and_retries_cleanly(spark):
     assert run() == [("1", "a", 5), ("2", "b", None)]
     arrive([("2", "b", "G", "7", "8"), ("3", "b", "G", "9", "9"), ("1", "c", "G", "5", "5")])
     assert run() == [("1", "a", 5), ("1", "c", 5), ("2", "b", None), ("3", "b", 9)]
+
+
+def test_transcript_files(spark, tmp_path):
+    lines = [
+        '{"transcriptId": "T1", "hugoSymbols": ["A", "B"], "proteinLength": 7, "exons": [{"exonId": "E1", "exonStart": 5, "exonEnd": 9, "rank": 1, "strand": -1, "version": 2}]}',
+        '{"transcriptId": "T2", "hugoSymbols": [], "pfamDomains": [{"pfamDomainId": "PF1", "pfamDomainStart": 1, "pfamDomainEnd": 3}, {"pfamDomainId": ""}]}',
+    ]
+    (tmp_path / "records.json").write_text("\n".join(lines))
+    records = nested.read_transcripts(spark, str(tmp_path))
+    assert rows(nested.transcript_table(records), "transcript_id", "gene_symbol", "protein_length") in (
+        [("T1", "A", 7), ("T2", None, None)],
+    )
+    assert rows(nested.exon_table(records), "transcript_id", "exon_id", "start", "end") == [("T1", "E1", 5, 9)]
+    assert rows(nested.domain_table(records), "transcript_id", "pfam_id") == [("T2", "PF1")]
+
+
+def test_pairwise_report_has_observed_pairs(spark):
+    data = [("v1", "A", "s1"), ("v2", "B", "s1"), ("v3", "A", "s2"), ("v4", "C", "s3"), ("v5", "B", "s2"), ("v6", "A", "s2")]
+    df = spark.createDataFrame(data, "variant_id string, gene string, tumor_sample_barcode string")
+    found = reports.pairwise_cooccurrence(df).collect()
+    assert [(r["gene1"], r["gene2"]) for r in found] == [("A", "B")]
+    assert found[0]["p_value"] == pytest.approx(1 / 3)
