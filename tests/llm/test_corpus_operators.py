@@ -291,6 +291,18 @@ def test_near_duplicates_odd_rows(odd, none):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 8, 9]
 
 
+def test_one_row_of_each_component(spark):
+    """Rows without an id or with a shared id are copies only where their texts are."""
+    rng = random.Random(4)
+    x, y, *others = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    rows = [(3, y), (5, y), (5, x), (5, x), *[(None, t) for t in others], (None, others[0]), (None, x)]
+    docs = spark.createDataFrame([(t, k, "web") for k, t in rows], "text string, doc_id bigint, source string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(3, y), (5, x), *[(None, t) for t in others]])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}

@@ -36,10 +36,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
-from varloom.llm.common import saved, slices, texts_of, words_of
-from varloom.llm.components import connected_components
+from varloom.llm.common import saved, slices, stored, texts_of, words_of
+from varloom.llm.components import connected_components, one_per_class, one_per_component
 
 BITS = 64
 PARTS = 3
@@ -263,15 +263,24 @@ def near_duplicates(docs: DataFrame, radius: int = 2, parts: int = PARTS, crowde
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 2, parts: int = PARTS, crowded: int = CROWDED) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the one with the smallest doc_id.
 
-    Among rows of that doc_id the smallest text stays, once.  Column order is kept.
+    A null doc_id is larger than any other; among rows of that doc_id the smallest
+    text stays, once.  Rows that share a doc_id, or have none, leave only if their
+    texts are near duplicates.  Column order is kept.
     """
-    found = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col("doc_id").alias("__kept")).distinct()
-    # all rows of one doc_id meet in a task: repeats of an id, not a data group
-    stay = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), rest)
-    return stay.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    classes = stored(one_per_class(_with_fingerprints(docs), "__fp"), "classes")
+    found = connected_components(links(classes.select("fp"), radius, parts, crowded))
+    return one_per_component(classes, found, docs.columns)
+
+
+def _with_fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` after a column __fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            fp = text_fingerprints(texts_of(batch.column("text"))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp), *batch.columns], names=["__fp", *batch.schema.names])
+
+    return docs.mapInArrow(run, StructType([StructField("__fp", LongType()), *docs.schema.fields]))
