@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
-from varloom.llm import bpe, imatch, katz, mixing, pii, quality, simhash, topk, urls, warc
+import corpus_pipeline
+from varloom.llm import bpe, imatch, jaccard, katz, mixing, pii, quality, simhash, topk, urls, warc
 from varloom.llm.common import slices, texts_of, words_of
 from varloom.llm.components import connected_components
 
@@ -303,6 +304,38 @@ def test_one_row_of_each_component(spark):
     assert got == Counter([(3, y), (5, x), *[(None, t) for t in others]])
 
 
+@pytest.mark.parametrize("often", [4, 1])
+def test_similar_texts_meet(spark, often):
+    """The stage of the pipeline against brute-force Jaccard similarity on near copies of every distance."""
+    rng = random.Random(often)
+    line = [f"common{i}" for i in range(30)]
+    texts = []
+    for size in (4, 5, 6, 14, 60, 300):
+        for _ in range(8):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(size)] + line * rng.randrange(2)
+            for _ in range(rng.choice((1, 2, 12))):
+                words = list(base)
+                for _ in range(rng.randrange(1 + len(words) // 35)):
+                    words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
+    texts += [" ".join(line), None, "", " \n"]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    pairs = [
+        (i, j) for i, j in itertools.combinations(range(len(texts)), 2)
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    ]
+    first = list(range(len(texts)))
+    for _ in first:
+        for i, j in pairs:
+            first[i] = first[j] = min(first[i], first[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "") if often == 4 else jaccard.one_of_each(docs, 1, 1)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(first))
+    fps = [fingerprint_by_hand(t) for t in texts]
+    assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
