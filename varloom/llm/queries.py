@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import bpe, imatch, katz, mixing, pii, quality, simhash, topk, urls, warc
+from varloom.llm import bpe, imatch, katz, merkle, mixing, pii, quality, simhash, topk, toxicity, turns, urls, warc
 from varloom.llm.common import held_out, table
 
 QUERIES = {}
@@ -131,3 +131,71 @@ def op6_imatch_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.derivatives(warc.responses(pages, FETCHED))
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    changed = F.when(merkle.tampered(F.col("doc_id")), merkle.leaf(text=merkle.lowered(F.col("text")))).otherwise(merkle.leaf())
+    return merkle.manifest(docs, changed)
+
+
+def _manifest_sql(source_levels: int = 5, root_levels: int = 3) -> str:
+    """The manifest with a fixed number of levels, for sources of pos most 16 ** source_levels rows."""
+    one = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+    fields = [one.format(f"CAST({c} AS VARCHAR)") for c in merkle.FIELDS[:-1]]
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "list_reduce(list_concat([xor(a, c)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    chars = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {chars}), lambda a, c: {bits}))"
+    parts = [f"""
+leaves AS (
+  SELECT doc_id, source, sha256({" || ".join([*fields, one.format("text")])}) AS leaf,
+    CASE WHEN ({crc}) % 5 = 0 THEN sha256({" || ".join([*fields, one.format(lowered)])}) END AS changed
+  FROM documents
+), sources AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) AS n FROM documents GROUP BY source
+), placed AS (
+  SELECT l.*, s.tree, s.n, row_number() OVER (PARTITION BY s.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source
+), a0 AS (SELECT tree, pos, leaf AS hash, n FROM placed)"""]
+
+    def climb(name: str, levels: int) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(hash, '' ORDER BY pos)) ELSE min(hash) END AS hash, CAST(ceil(n / 16) AS BIGINT) AS n
+  FROM {name}{k} GROUP BY tree, pos // 16, n)""")
+
+    climb("a", source_levels)
+    parts.append(f"b0 AS (SELECT 0 AS tree, tree AS pos, hash, (SELECT count(*) FROM sources) AS n FROM a{source_levels})")
+    climb("b", root_levels)
+    steps = [("a", k, "p.tree", f"p.pos // {16**k}") for k in range(source_levels)] + [("b", k, "0", f"p.tree // {16**k}") for k in range(root_levels)]
+    parts.append(f"""p0 AS (
+  SELECT p.*, s.hash AS subroot, r.hash AS root, '' AS proof, coalesce(p.changed, p.leaf) AS folded
+  FROM placed p JOIN a{source_levels} s ON s.tree = p.tree JOIN b{root_levels} r ON r.tree = 0)""")
+    for i, (name, k, tree, pos) in enumerate(steps):
+        parts.append(f"""r{i} AS (SELECT tree, pos // 16 AS run, any_value(n) AS size, list(hash ORDER BY pos) AS run_hashes FROM {name}{k} GROUP BY tree, pos // 16),
+p{i + 1} AS (
+  SELECT p.* EXCLUDE (proof, folded),
+    CASE WHEN size > 1 THEN proof || array_to_string(run_hashes[1:{pos} % 16], '') || array_to_string(run_hashes[{pos} % 16 + 2:], '') ELSE proof END AS proof,
+    CASE WHEN size > 1 THEN sha256(array_to_string(run_hashes[1:{pos} % 16], '') || folded || array_to_string(run_hashes[{pos} % 16 + 2:], '')) ELSE folded END AS folded
+  FROM p{i} p JOIN r{i} r ON r.tree = {tree} AND r.run = ({pos}) // 16)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM p{len(steps)}"""
+
+
+ORACLES["op12_merkle_manifest"] = _manifest_sql()
+
+
+@query
+def op13_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 5, 0)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~out)
+    found = toxicity.scored(docs, model).select("doc_id", out.alias("held_out"), "score")
+    return found.withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0))
