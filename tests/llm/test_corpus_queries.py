@@ -10,9 +10,12 @@ from check import TABLES, compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from varloom.llm import bpe, mixing, quality, simhash
+from varloom.llm import bpe, mixing, quality
+from varloom.llm.common import stored
 from varloom.llm.queries import ORACLES, QUERIES, VOCABULARY
 
+from test_corpus_operators import brute_force_groups, nearly_all_copies_went  # noqa: I001
+
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -30,8 +33,8 @@ def test_query(name, spark, sf, con):
         assert problem is None, problem
     else:
         rows = df.count()
-        per_row = {"op9_warc_derivatives": ("pages", 2)}.get(name, ("documents", 1))
-        assert rows == per_row[1] * spark.read.parquet(f"{sf}/{per_row[0]}.parquet").count()
+        named, times, key = {"op9_warc_derivatives": ("pages", 2, "page_id"), "op11_turn_repair": ("conversations", 1, "conv_id")}.get(name, ("documents", 1, "doc_id"))
+        assert rows == times * spark.read.parquet(f"{sf}/{named}.parquet").select(key).distinct().count()
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +42,7 @@ def stages(spark, sf):
     """Input and result of every stage."""
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
-        result = corpus_pipeline.stored(stage(spark, docs, sf), "test-stage")
+        result = stored(stage(spark, docs, sf), "test-stage")
         out[name] = docs, result
         docs = result
     return out
@@ -65,23 +68,10 @@ def test_quality_stage(spark, sf, stages):
 
 def test_near_duplicate_stage(stages):
     before, after = stages["near duplicates"]
-    rows = before.collect()
-    fps = [int(x) for x in simhash.text_fingerprints(pa.array([r["text"] or "" for r in rows], pa.large_string()))]
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
-                parent[root(i)] = root(j)
-    first = {}
-    for i, r in enumerate(rows):
-        first[root(i)] = min(first.get(root(i), r["doc_id"]), r["doc_id"])
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(first.values())
+    rows = sorted(before.collect(), key=lambda r: r["doc_id"])
+    first, _ = brute_force_groups([r["text"] for r in rows])
+    place = {r["doc_id"]: i for i, r in enumerate(rows)}
+    nearly_all_copies_went([place[r["doc_id"]] for r in after.collect()], first)
 
 
 def test_personal_data_stage(stages):

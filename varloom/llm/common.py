@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +44,47 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read from there.
 
     Cuts the lineage: a lost executor costs a re-read.  The folder belongs to the
-    cluster, which clears it.  ``by`` names folder columns.
+    cluster, which clears it; ``scratch`` has tables that go earlier.  ``by`` names
+    folder columns.
     """
+    return written(df, name, *by)[0]
+
+
+def written(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """What ``stored`` gives, and the folder, for ``drop_tables``."""
     spark = df.sparkSession
     path = f"{durable_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     with _shuffles_dropped(spark):
         (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of written tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like ``stored`` whose tables are deleted at the end.
+
+    What leaves the block must not read them any more.
+    """
+    paths: list[str] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        found, path = written(df, name)
+        paths.append(path)
+        return found
+
+    try:
+        yield put
+    finally:
+        drop_tables(spark, paths)
 
 
 @contextlib.contextmanager

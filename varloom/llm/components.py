@@ -60,14 +60,3 @@ def one_per_class(docs: DataFrame, mark: str) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text", mark)]
     row = F.struct(F.col("doc_id").isNull().alias("__no_id"), "doc_id", "text", *rest)
     return docs.groupBy(F.col(mark).alias("fp")).agg(F.min(row).alias("row"))
-
-
-def one_per_component(classes: DataFrame, parts_of: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` of the first row of each component of classes (fp, row).
-
-    ``parts_of`` (node, component) names the values of fp that have links; others stay.
-    """
-    linked = classes.join(parts_of.withColumnRenamed("node", "fp"), "fp")
-    best = linked.groupBy("component").agg(F.min("row").alias("row")).select("row")
-    alone = classes.join(parts_of.select(F.col("node").alias("fp")), "fp", "left_anti").select("row")
-    return alone.unionByName(best).select(*[F.col(f"row.`{c}`") for c in columns])

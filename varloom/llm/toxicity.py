@@ -6,8 +6,8 @@ that look like Latin ones become these, digits and signs that stand for letters
 
 The lexicon holds whole words and beginnings of words, as inflected and compounded
 forms share these.  Its weights are log ratios of how often labelled toxic and clean
-texts have a term, over all labelled rows that may be used; a term must be more frequent
-in toxic texts than chance explains among as many terms as there are (a likelihood
+texts have a term, over at most ``MAX_DOCUMENTS`` labelled rows, the first ones in the
+order of a hash of their id; a term must be more frequent in toxic texts than chance explains among as many terms as there are (a likelihood
 ratio), and the strongest ``LEXICON`` are kept; a beginning goes if one word makes up most of it.
 A word counts with the largest weight of
 what matches it, and once in a text, so that a repeated line is not a sum of itself.
@@ -15,8 +15,7 @@ Exception phrases are pairs of words with a lexicon word that
 clean texts have as a rule; words inside one do not count.
 
 The score is a logistic function of the weights' sum and of that sum divided by the
-number of words, so a long text is not toxic for one chance word; the curve is fitted
-on at most ``MAX_DOCUMENTS`` labelled rows in the order of a hash of their id.
+number of words, so a long text is not toxic for one chance word.
 
 A null or empty text has no words and gets the curve's value for that.  Several labels of
 one id count as their largest; null labels and ids are left out.  Without labels of both
@@ -42,8 +41,8 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import saved, slices, stored, texts_of
 
-#: Most terms of the lexicon, most exception phrases, most rows the curve is fitted on.
-LEXICON, EXCEPTIONS, MAX_DOCUMENTS = 20_000, 5_000, 20_000
+#: Most terms of the lexicon, most exception phrases, most labelled rows it is learned from.
+LEXICON, EXCEPTIONS, MAX_DOCUMENTS = 20_000, 5_000, 50_000
 #: Lengths of the beginnings of words that may be terms.
 STEMS = (4, 5, 6)
 #: Least log ratio of a term, and clean texts that an exception phrase needs.
@@ -133,12 +132,16 @@ def text_features(automaton: ahocorasick.Automaton | None, text: str) -> tuple[f
     return features(math.fsum(words.values()), folded.count(" ") - 1)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, usable: Column | None) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, usable: Column | None, most: int) -> DataFrame:
+    """(text, toxic) of at most ``most`` labelled ids; only their ids are sent to the texts."""
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     if usable is not None:
         known = known.filter(usable)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(known.select("doc_id", (F.col("toxic") > 0).alias("toxic")), "doc_id")
+    known = saved(known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).withColumn("at", F.xxhash64("doc_id")))
+    share = min(1.0, 1.2 * most / max(known.count(), 1))  # about as many, so that the top-k is a small one
+    near = known.filter(F.col("at") < F.lit(int((2 * share - 1) * 2**63) - 1 if share < 1 else 2**63 - 1))
+    chosen = near.orderBy("at", "doc_id").limit(most).select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def _counted(labelled: DataFrame, extract) -> DataFrame:
@@ -169,7 +172,7 @@ def train(
     lexicon: int = LEXICON, exceptions: int = EXCEPTIONS, max_documents: int = MAX_DOCUMENTS,
 ) -> Lexicon | None:
     """The model that ``labels`` (doc_id, toxic) teach; ``usable`` (over doc_id) says which may be used."""
-    labelled = stored(_labelled(docs, labels, usable), "labelled")
+    labelled = stored(_labelled(docs, labels, usable, max_documents), "labelled")
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}  # two rows
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
@@ -207,9 +210,9 @@ def train(
             columns = [batch.column("toxic"), *(pa.array([r[k] for r in x], pa.float64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["toxic", "x", "y"])
 
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_documents)
-    rows = sample.select("text", "toxic").mapInArrow(measured, "toxic boolean, x double, y double")
-    rows = rows.orderBy("toxic", "x", "y").collect()  # at most ``max_documents`` pairs of numbers
+    # summed by rounded features: repeated ids and any number of rows are some thousand sums
+    rows = labelled.select("text", "toxic").mapInArrow(measured, "toxic boolean, x double, y double")
+    rows = rows.groupBy("toxic", F.round("x", 2).alias("x"), F.round("y", 2).alias("y")).count().orderBy("toxic", "x", "y").collect()
     return Lexicon(model.weights, model.exceptions, _fitted(rows))
 
 
@@ -242,12 +245,12 @@ def _fitted(rows: Iterable) -> tuple[float, float, float]:
     """Logistic regression of toxic on x and y, with a weak pull to 0 that keeps separable classes finite."""
     rows = list(rows)
     x = np.array([[r["x"], r["y"], 1.0] for r in rows])
-    target = np.array([1.0 if r["toxic"] else 0.0 for r in rows])
+    target, n = np.array([1.0 if r["toxic"] else 0.0 for r in rows]), np.array([float(r["count"]) for r in rows])
     w = np.zeros(3)
     pull = np.diag([0.05, 0.05, 0.001])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + pull, x.T @ (target - p) - pull @ w)
+        w = w + np.linalg.solve((x * (n * (p * (1 - p) + 1e-9))[:, None]).T @ x + pull, x.T @ (n * (target - p)) - pull @ w)
     return tuple(float(v) for v in w)
 
 
