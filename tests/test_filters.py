@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 from conftest import rows
+from pyspark.sql import functions as F
 
 from varloom.operators import aggregate as agg
 from varloom.operators import filters as flt
@@ -149,6 +150,47 @@ def test_pages_are_in_order(spark):
     assert got == [r["variant_id"] for r in want]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages_equal_the_sort(spark, descending):
+    """Pages beyond the top-k are counted out by range: hot and null sort values, several columns, ends of the table."""
+    kinds = "id string, g int, d double, t timestamp, b boolean"
+    df = spark.range(6000).selectExpr(
+        "cast((id * 7919) % 6000 AS string) AS id", "CASE WHEN id % 3 > 0 THEN 7 WHEN id % 5 > 0 THEN cast(id % 11 AS int) END AS g",
+        "CASE WHEN id % 4 = 0 THEN double('NaN') ELSE id / 7 - 300 END AS d",
+        "timestamp_seconds(id % 97) AS t", "CASE WHEN id % 7 > 1 THEN id % 2 = 0 END AS b",
+    )
+    assert kinds == ", ".join(f"{n} {k}" for n, k in df.dtypes)
+    for by, key in (("g", ["id"]), ("d", ["t", "id"]), ("b", ["id"]), ("id", ["id"]), (None, ["t", "b", "id"])):
+        names = list(dict.fromkeys([*([by] if by else []), *key]))
+        order = [F.col(n).desc() if n == by and descending else F.col(n).asc() for n in names]
+        want = [r["id"] for r in df.orderBy(*order).collect()]
+        for number in (1, 7, 31, 120):
+            found = ordering.page(df, number, 50, by, key, descending, early=100)
+            assert [r["id"] for r in found.collect()] == want[(number - 1) * 50 : number * 50]
+    assert ordering.page(df, 121, 50, "g", ["id"], early=100).count() == 0
+    assert ordering.page(df.limit(0), 9, 50, "g", ["id"], early=100).count() == 0
+
+
+def test_early_page_is_a_top_k(spark):
+    df = spark.range(500).selectExpr("id AS variant_id", "id % 3 AS g")
+    plan = ordering.page(df, 3, 60, "g", ["variant_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "ExistingRDD" not in plan
+
+
+def test_region_table_keeps_repeated_and_null_ids(spark):
+    from varloom.operators import regions
+
+    rows_ = [("a", "1", 4090, 4100), (None, "1", 4095, 4096), (None, "1", 4095, 4096), ("a", "1", 4000, 8200), ("b", "1", 4097, 4097), ("b", "1", 4097, 4097)]
+    rows_ += [("c", "1", None, 5), ("c", "1", 5, None), ("d", None, 4097, 4097), ("e", "2", 4097, 4097), ("f", "1", 9000, 4000), ("g", "1", 1, 2**40)]
+    df = spark.createDataFrame(rows_, "variant_id string, chrom string, start bigint, end bigint")
+    one = spark.createDataFrame([("chr1", 4096, 4097)], "chromosome string, start bigint, end bigint")
+    got = regions.in_region_table(df, one)
+    assert Counter(map(tuple, got.collect())) == Counter([*rows_[:6], rows_[11]])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan.split("LeftSemi")[0] and "Aggregate" not in plan.split("LeftSemi")[0]
+    assert regions.in_region_table(df, one.limit(0)).count() == 0
+
+
 def test_large_top_per_group_is_cut_in_subgroups(spark):
     df = spark.range(9000).selectExpr("id", "id % 2 AS g", "(id * 31) % 9000 AS v")
     out = ordering.top_per_group(df, ["g"], 1500, [F.col("v").asc()])

@@ -96,17 +96,36 @@ def cells(spark):
     return sorted(data)
 
 
-@pytest.mark.parametrize("blocks", [(1, 1), (3, 1), (2, 5), (7, 4)])
-def test_comutation_by_blocks(spark, cells, blocks):
+def test_comutation_counts(spark, cells):
     df = spark.createDataFrame(cells, "gene string, sample string")
     by_sample: dict[str, list[str]] = {}
     for g, s in cells:
         by_sample.setdefault(s, []).append(g)
     want = Counter(p for gs in by_sample.values() for p in combinations(sorted(gs), 2))
-    got = {(r["gene1"], r["gene2"]): r["both"] for r in cooccurrence.comutation_counts(df, blocks).collect()}
+    got = {(r["gene1"], r["gene2"]): r["both"] for r in cooccurrence.comutation_counts(df).collect()}
     assert got == dict(want)
 
 
+def test_comutation_of_frequent_and_rare_genes(spark):
+    """Frequent genes go by bitmaps of several words, rare ones by sample; a hot sample has every gene."""
+    rng = random.Random(3)
+    rows_ = {(f"f{g}", f"s{s}") for g in range(6) for s in range(700) if rng.random() < 0.4}
+    rows_ |= {(f"r{g}", f"s{rng.randrange(700)}") for g in range(40) for _ in range(4)}
+    rows_ |= {(f"{k}{g}", "s0") for k, n in (("f", 6), ("r", 40)) for g in range(n)}
+    by_sample: dict[str, list[str]] = {}
+    for g, s in rows_:
+        by_sample.setdefault(s, []).append(g)
+    want = Counter(p for gs in by_sample.values() for p in combinations(sorted(gs), 2))
+    df = spark.createDataFrame(sorted(rows_), "gene string, sample string")
+    found = cooccurrence.comutation_counts(df)
+    assert {(r["gene1"], r["gene2"]): r["both"] for r in found.collect()} == dict(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    words = cooccurrence.sample_words(df, F.lit(700)).collect()
+    assert max(bin(r["bits"] & (2**64 - 1)).count("1") for r in words) > 1 and len({(r["bucket"], r["word"]) for r in words}) > 10
+    assert cooccurrence.comutation_counts(df.limit(0)).count() == 0
+
+
 def test_all_pairs(spark):
     genes = spark.createDataFrame([(f"g{i:02d}",) for i in range(30)] * 2, "gene string")
     assert rows(cooccurrence.all_pairs(genes, 4)) == list(combinations([f"g{i:02d}" for i in range(30)], 2))

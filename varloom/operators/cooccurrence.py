@@ -1,31 +1,26 @@
 """Gene pairs: co-mutation counts, Fisher tests, heat-map cells.
 
 Counting samples that share two genes is a product of the sample x gene
-incidence with itself.  A self join on the sample would emit every pair of
-genes of every sample; instead genes and samples are cut into blocks, and each
-(gene block, gene block, sample block) is one small matrix product inside a
-task.  Only the non-zero counts of a block leave it.
+incidence with itself.  Genes that are mutated in many samples are counted on
+bitmaps: samples are numbered, a gene's samples are 64 to a word, and a pair is
+the number of bits that two words share.  A pair with a rare gene is met sample
+by sample, which emits no more rows than there are shared samples to count.
+All of it are joins and aggregates of built-in expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varloom.functions import stats
-from varloom.operators.ordering import checkpointed
 from varloom.roles import Roles, col
 
-# Expected size of one block; a task then holds a matrix of a few megabytes.
-GENES_PER_BLOCK = 1024
-SAMPLES_PER_BLOCK = 4096
-
-_COUNTS = "gene1 string, gene2 string, n bigint"
+#: Samples to a word, and how many a hash bucket that is numbered gets on average.
+WORD, BUCKET = 64, 48
 
 
 def gene_cells(df: DataFrame, genes: Sequence[str] | None = None, roles: Roles = Roles()) -> DataFrame:
@@ -35,14 +30,6 @@ def gene_cells(df: DataFrame, genes: Sequence[str] | None = None, roles: Roles =
     return cells.filter(F.col("gene").isNotNull() & F.col("sample").isNotNull()).distinct()
 
 
-def block_counts(cells: DataFrame) -> tuple[int, int]:
-    """How many gene and sample blocks the cells need."""
-    sizes = cells.agg(
-        F.approx_count_distinct("gene").alias("g"), F.approx_count_distinct("sample").alias("s")
-    ).first()
-    return max(1, ceil(sizes["g"] / GENES_PER_BLOCK)), max(1, ceil(sizes["s"] / SAMPLES_PER_BLOCK))
-
-
 def _block(name: str, blocks: int):
     return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
 
@@ -55,34 +42,43 @@ def _pair_blocks(own, blocks: int):
     )
 
 
-def _block_product(pdf: pd.DataFrame) -> pd.DataFrame:
-    genes, gene_names = pd.factorize(pdf["gene"])
-    samples, sample_names = pd.factorize(pdf["sample"])
-    hits = np.zeros((len(sample_names), len(gene_names)), dtype=np.float32)
-    hits[samples, genes] = 1.0
-    own = np.zeros(len(gene_names), dtype=np.int64)
-    own[genes] = pdf["own"].to_numpy()
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    together = hits[:, left].T @ hits[:, right]
-    rows, cols = np.nonzero(together)
-    names = np.asarray(gene_names, dtype=object)
-    a, b = names[left[rows]], names[right[cols]]
-    n = together[rows, cols].astype(np.int64)
-    keep = a < b if i == j else np.ones(len(a), dtype=bool)
-    low, high = np.where(a < b, a, b), np.where(a < b, b, a)
-    return pd.DataFrame({"gene1": low[keep], "gene2": high[keep], "n": n[keep]})
-
-
-def comutation_counts(cells: DataFrame, blocks: tuple[int, int] | None = None) -> DataFrame:
-    """Samples mutated in both genes, for every pair that shares a sample."""
-    gene_blocks, sample_blocks = blocks or block_counts(cells)
-    placed = cells.select(
-        "gene", "sample", _block("gene", gene_blocks).alias("own"), _block("sample", sample_blocks).alias("k")
+def sample_words(cells: DataFrame, total: Column) -> DataFrame:
+    """(bucket, word, gene, bits): the samples of a gene as bitmaps of 64 numbered samples.
+
+    Samples are numbered inside hash buckets, of which there are so many that one holds
+    less than a word on average; what a bucket has beyond that goes to a next word.
+    """
+    buckets = F.greatest(F.ceil(total / F.lit(BUCKET)), F.lit(1))
+    samples = cells.select("sample").distinct().withColumn("bucket", F.pmod(F.xxhash64("sample"), buckets))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("sample")) - 1
+    numbered = samples.withColumn("place", place)
+    bit = F.expr(f"shiftleft(1L, place % {WORD})")
+    return (
+        cells.join(numbered, "sample")
+        .groupBy("bucket", F.floor(F.col("place") / WORD).alias("word"), "gene").agg(F.bit_or(bit).alias("bits"))
+    )
+
+
+def comutation_counts(cells: DataFrame) -> DataFrame:
+    """Samples mutated in both genes, for every pair that shares a sample.
+
+    A gene is frequent if a word holds one of its samples on average.  Then words have
+    fewer pairs than samples have; for rare genes they would have more.
+    """
+    total = cells.agg(F.countDistinct("sample")).scalar()
+    margin = cells.groupBy("gene").agg((F.count(F.lit(1)) * WORD >= total).alias("frequent"))
+    placed = cells.join(margin, "gene")
+    words = sample_words(placed.filter("frequent").select("gene", "sample"), total)
+    one, two = words.select("bucket", "word", F.col("gene").alias("gene1"), F.col("bits").alias("x")), words.select(
+        "bucket", "word", F.col("gene").alias("gene2"), F.col("bits").alias("y")
     )
-    spread = placed.select("gene", "sample", "own", "k", F.inline(_pair_blocks(F.col("own"), gene_blocks)))
-    partial = spread.groupBy("i", "j", "k").applyInPandas(_block_product, _COUNTS)
-    return partial.groupBy("gene1", "gene2").agg(F.sum("n").alias("both"))
+    shared = F.bit_count(F.col("x").bitwiseAND(F.col("y")))
+    dense = one.join(two, ["bucket", "word"]).filter(F.col("gene1") < F.col("gene2"))
+    dense = dense.select("gene1", "gene2", shared.alias("n")).filter("n > 0")
+    rare = placed.filter("NOT frequent").select("sample", F.col("gene").alias("x"))
+    met = rare.join(placed, "sample").filter(F.col("frequent") | (F.col("x") < F.col("gene")))
+    sparse = met.select(F.least("x", "gene").alias("gene1"), F.greatest("x", "gene").alias("gene2"), F.lit(1).alias("n"))
+    return dense.unionByName(sparse).groupBy("gene1", "gene2").agg(F.sum("n").alias("both"))
 
 
 def all_pairs(genes: DataFrame, blocks: int = 16) -> DataFrame:
@@ -102,14 +98,12 @@ def all_pairs(genes: DataFrame, blocks: int = 16) -> DataFrame:
     )
 
 
-def pair_tables(cells: DataFrame, unobserved: bool = False, blocks: tuple[int, int] | None = None) -> DataFrame:
+def pair_tables(cells: DataFrame, unobserved: bool = False) -> DataFrame:
     """2x2 table (a both, b first only, c second only, d neither) per pair.
 
-    ``unobserved`` adds the pairs that never share a sample.  The cells are
-    checkpointed, as counts, margins and total are all made of them.
+    ``unobserved`` adds the pairs that never share a sample.
     """
-    cells = checkpointed(cells)
-    counts = comutation_counts(cells, blocks)
+    counts = comutation_counts(cells)
     if unobserved:
         pairs = all_pairs(cells.select("gene"))
         counts = pairs.join(counts, ["gene1", "gene2"], "left").fillna(0, ["both"])
@@ -134,13 +128,12 @@ def pairwise_fisher(
     genes: Sequence[str] | None = None,
     unobserved: bool = False,
     roles: Roles = Roles(),
-    blocks: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Two-sided Fisher test of co-mutation for the gene pairs that share a sample.
 
     ``unobserved`` adds all other pairs, whose number is the square of that of the genes.
     """
-    tables = pair_tables(gene_cells(df, genes, roles), unobserved, blocks)
+    tables = pair_tables(gene_cells(df, genes, roles), unobserved)
     cells = [F.col(x) for x in "abcd"]
     out = tables.select(
         "gene1", "gene2", stats.fisher_two_sided(*cells).alias("p_value"), stats.odds_ratio(*cells).alias("odds_ratio")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,12 @@ def sort(df: DataFrame, by: str, key: Sequence[str], descending: bool = False) -
     return df.orderBy(_directed(by, descending), *[col(k).asc() for k in key])
 
 
+#: Pages that end within so many rows are cut from a top-k; deeper ones are looked up by counting.
+EARLY_ROWS = 10_000
+#: Rows that propose range borders in one look-up round, and ranges they are cut into.
+PROPOSED_ROWS, RANGES = 2048, 64
+
+
 def page(
     df: DataFrame,
     number: int,
@@ -66,23 +72,96 @@ def page(
     key: Sequence[str],
     descending: bool = False,
     max_size: int = 1000,
+    early: int = EARLY_ROWS,
 ) -> DataFrame:
     """Page ``number`` (from 1), in order.  Paging needs a total order, hence the key, which must be unique.
 
-    Only the sort column and the key are numbered; the rows of the page are then
-    fetched by key, so no other column is shuffled, however deep the page.
+    A page that ends within ``early`` rows is a top-k, of which each task sends no more
+    than these.  For a deeper one the ordered rows are counted by range until the ranges
+    that hold the page are known (:func:`_window_of_rows`), and only their rows are
+    sorted.  Nothing is sorted or written as a whole, and both ways have the same order.
     """
     if number < 1 or not 1 <= size <= max_size:
         raise BadRequest(f"page must be >= 1 and page size in 1..{max_size}")
     names = list(dict.fromkeys([*([by] if by else []), *key]))
     require_columns(df, names)
-    order = ([_directed(by, descending)] if by else []) + [col(k).asc() for k in key]
+    parts = [(n, n == by and descending) for n in names]
+    order = [_directed(n, down) for n, down in parts]
     skip = (number - 1) * size
-    numbered = with_row_index(df.select(*[col(n) for n in names]), order, "_row")
-    wanted = numbered.filter(F.col("_row").between(skip, skip + size - 1)).limit(size)
-    wanted = wanted.select(*[col(k).alias(f"_key_{i}") for i, k in enumerate(key)])
-    same = [col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(key)]
-    return df.join(wanted, same, "left_semi").orderBy(*order)
+    if skip + size > early:
+        df, skip = _window_of_rows(df, parts, skip, size, early)
+    return df.orderBy(*order).offset(skip).limit(size)
+
+
+def _before(parts: Sequence[tuple[str, bool]], border: Sequence[str | None], kinds: dict[str, str]) -> Column:
+    """Whether a row stands before the border, a tuple of values as text, in the order of ``parts``.
+
+    Null is smallest, as in the sort: first where it ascends, last where it descends.
+    """
+    found = F.lit(False)
+    for (name, down), value in reversed(list(zip(parts, border, strict=True))):
+        c, v = col(name), F.lit(value).cast(kinds[name])
+        if value is None:
+            less, same = (c.isNotNull() if down else F.lit(False)), c.isNull()
+        else:
+            less, same = ((c > v) if down else (c < v)), c.eqNullSafe(v)
+            less = F.coalesce(less, F.lit(not down))
+        found = less | (same & found)
+    return found
+
+
+def _place(borders: Sequence[Sequence[str | None]], before: Callable[[Sequence[str | None]], Column], first: int = 0) -> Column:
+    """Number of the range a row is in, by a binary search over ascending borders."""
+    if not borders:
+        return F.lit(first)
+    middle = len(borders) // 2
+    left = _place(borders[:middle], before, first)
+    return F.when(before(borders[middle]), left).otherwise(_place(borders[middle + 1 :], before, first + middle + 1))
+
+
+def _window_of_rows(
+    df: DataFrame, parts: Sequence[tuple[str, bool]], skip: int, size: int, early: int
+) -> tuple[DataFrame, int]:
+    """The rows among which rows skip .. skip + size - 1 of the order are, and where they begin there.
+
+    Each round takes as borders an even cut of ``PROPOSED_ROWS`` rows that a hash picks (a
+    top-k, so every task sends at most these), counts the rows of each range and goes on
+    inside the ranges that hold the page, until these have at most ``early`` rows.  A round
+    is two scans of the order columns and divides the rows by about ``RANGES``.
+    """
+    kinds = {n: df.select(col(n)).dtypes[0][1] for n, _ in parts}
+    order = [_directed(n, down) for n, down in parts]
+    left = None
+    while True:
+        keys = df.select(*[col(n) for n, _ in parts])
+        picked = keys.orderBy(F.xxhash64(*[col(n) for n, _ in parts]), *order).limit(PROPOSED_ROWS)
+        told = picked.orderBy(*order).select(*[col(n).cast("string") for n, _ in parts]).collect()
+        step = max(1, len(told) // RANGES)
+        borders = list(dict.fromkeys(tuple(r) for r in told[step::step]))
+        if not borders:
+            return df, skip
+
+        def before(b: Sequence[str | None]) -> Column:
+            return _before(parts, b, kinds)
+
+        counts = dict.fromkeys(range(len(borders) + 1), 0)
+        for r in keys.groupBy(_place(borders, before).alias("_range")).count().collect():
+            counts[r["_range"]] = r["count"]
+        total = sum(counts.values())
+        first, passed = 0, 0
+        while first < len(borders) and passed + counts[first] <= skip:
+            passed, first = passed + counts[first], first + 1
+        last, held = first, counts[first]
+        while last < len(borders) and passed + held < skip + size:
+            last, held = last + 1, held + counts[last + 1]
+        if first > 0:
+            df = df.filter(~before(borders[first - 1]))
+        if last < len(borders):
+            df = df.filter(before(borders[last]))
+        skip -= passed
+        if held <= early or held == total or held == left:
+            return df, skip
+        left = held
 
 
 def with_row_index(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:

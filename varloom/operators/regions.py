@@ -17,10 +17,12 @@ from varloom.roles import Roles, col, first_existing
 
 Region = Mapping[str, Any]
 
-# A region table is cut into blocks of 2**12 bases for the equi-join, and into
+# A region table is cut into blocks of 2**12 bases for the equi-join, by way of
 # blocks of 2**20 where a region covers these in full.
 REGION_BLOCK_BITS = 12
 WIDE_BLOCK_BITS = 20
+# Blocks of blocks, up to 2**48 bases.
+LEVELS = 36
 
 
 #: Names with more letters than this have too many spellings to list.
@@ -79,21 +81,29 @@ def in_regions(df: DataFrame, regions: Sequence[Region] | None, roles: Roles = R
 def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """As :func:`in_regions` for a table of regions (chromosome, start, end).
 
-    Regions are cut at block borders, so the semi join has an equality key.  What
-    a region covers of wide blocks in full is kept as wide blocks; only its ends are
-    cut into narrow ones, so a whole chromosome takes some hundred pieces.  Pieces
-    with the same start are merged into the longest: however many regions share a
-    block, a row is compared with at most one piece per base of it.  A row inside one
-    narrow block matches at one of the two widths; the few rows that cross a border
-    are spread over their blocks and merged again by variant id.
+    A semi join on one key: every row looks into one block only, so no row is copied
+    and rows need no id of their own (repeated and null ids are kept as they are).
+
+    - A row inside one block of 2**12 bases looks into this block, for a piece of a
+      region, cut at block borders, that begins before the row's end and ends after its
+      start.  Pieces with the same start are merged, so a block has one per base at most.
+    - A row that crosses block borders looks into the smallest aligned power-of-two block
+      around it.  Its ends lie in different halves, so it meets a region exactly if the
+      last piece of the left half reaches its start, or the first piece of the right half
+      begins by its end; a block needs these two numbers only.
+
+    A region that covers blocks of 2**20 bases in full is these wide blocks, once for all
+    regions, before it is cut further; so there are never more pieces than 2**12 bases
+    have places and chromosomes have blocks, however many regions overlap.
+
+    A row without a start or end, or that ends before it starts, meets no region.
     """
     bits, wide = REGION_BLOCK_BITS, WIDE_BLOCK_BITS
-    block_first = F.shiftleft("r_block", bits)
     whole = regions.select(
         text.chromosome("chromosome").alias("r_chrom"),
         col("start").cast("bigint").alias("r_start"),
         F.coalesce(col("end"), col("start")).cast("bigint").alias("r_end"),
-    ).distinct()
+    ).filter("r_start <= r_end").distinct()
     # wide blocks [w_first, w_stop) are covered in full
     whole = whole.withColumn("w_first", F.shiftright(F.col("r_start") + ((1 << wide) - 1), wide)).withColumn(
         "w_stop", F.shiftright(F.col("r_end") + 1, wide)
@@ -112,48 +122,44 @@ def in_region_table(df: DataFrame, regions: DataFrame, roles: Roles = Roles()) -
         F.when(covers & (F.col("r_start") <= left_end), piece(F.col("r_start"), left_end)),
         F.when(covers & (right_start <= F.col("r_end")), piece(right_start, F.col("r_end"))),
     ))
-    span = F.sequence(F.shiftright("r_start", bits), F.shiftright("r_end", bits))
+    first, last = F.shiftleft("r_block", bits), F.shiftleft("r_block", bits) + ((1 << bits) - 1)
     narrow = (
         whole.select("r_chrom", F.explode(ends).alias("e")).select("r_chrom", "e.r_start", "e.r_end")
-        .withColumn("r_block", F.explode(span))
-        .groupBy("r_chrom", "r_block", F.greatest("r_start", block_first).alias("r_start"))
-        .agg(F.max(F.least("r_end", block_first + ((1 << bits) - 1))).alias("r_end"))
-        .withColumn("w_block", F.shiftright("r_block", wide - bits))
-        # a block that another region covers in full needs no narrow pieces
-        .join(full, ["r_chrom", "w_block"], "left_anti")
-        .select("r_chrom", F.lit(bits).alias("r_bits"), "r_block", "r_start", "r_end")
+        .withColumn("r_block", F.explode(F.sequence(F.shiftright("r_start", bits), F.shiftright("r_end", bits))))
+        .select("r_chrom", "r_block", F.greatest("r_start", first).alias("r_start"), F.least("r_end", last).alias("r_end"))
     )
-    w_first = F.shiftleft("w_block", wide)
-    cut = narrow.unionByName(full.select(
-        "r_chrom", F.lit(wide).alias("r_bits"), F.col("w_block").alias("r_block"), w_first.alias("r_start"),
-        (w_first + ((1 << wide) - 1)).alias("r_end"),
-    ))
-    end = roles.end or roles.start
-
-    def blocks(b: int) -> Column:
-        touched = F.sequence(F.shiftright(col(roles.start), b), F.shiftright(col(end), b))
-        return F.transform(touched, lambda x: F.struct(F.lit(b).alias("_bits"), x.alias("_block")))
-
-    def hits(side: DataFrame) -> DataFrame:
-        on = (
-            (side["_chrom"] == cut["r_chrom"])
-            & (side["_bits"] == cut["r_bits"])
-            & (side["_block"] == cut["r_block"])
-            & (col(roles.start) <= cut["r_end"])
-            & (col(end) >= cut["r_start"])
-        )
-        return side.join(cut, on, "left_semi")
-
-    keyed = df.withColumn("_chrom", text.chromosome(roles.chrom))
-    one_block = F.shiftright(col(roles.start), bits) == F.shiftright(col(end), bits)
-    own = F.array(*[
-        F.struct(F.lit(b).alias("_bits"), F.shiftright(col(roles.start), b).alias("_block")) for b in (bits, wide)
-    ])
-    every = F.concat(blocks(bits), blocks(wide))
-    inside = keyed.filter(one_block).select("*", F.inline(own))
-    across = keyed.filter(~one_block).select("*", F.inline(every))
-    kept = hits(inside).unionByName(hits(across).dropDuplicates([roles.variant_id]))
-    return kept.drop("_chrom", "_bits", "_block")
+    inner = F.shiftleft("w_block", wide - bits)
+    broad = full.select("r_chrom", F.explode(F.sequence(inner, inner + ((1 << (wide - bits)) - 1))).alias("r_block"))
+    merged = (
+        narrow.unionByName(broad.select("r_chrom", "r_block", first.alias("r_start"), last.alias("r_end")))
+        .groupBy("r_chrom", "r_block", "r_start").agg(F.max("r_end").alias("r_end"))
+    )
+    blocks = merged.groupBy("r_chrom", "r_block").agg(
+        F.collect_list(F.struct("r_start", "r_end")).alias("r_pieces"),  # one per base of a block at most
+        F.min("r_start").alias("r_first"), F.max("r_end").alias("r_last"),
+    )
+    # level: which bit of a position tells the halves of a block apart
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    halves = blocks.select(
+        "r_chrom", "r_first", "r_last", F.explode(levels).alias("r_level"), "r_block"
+    ).withColumn("upper", F.expr("shiftright(r_block, r_level)")).select(
+        "r_chrom", (F.col("r_level") + 1).alias("r_level"), F.shiftright("upper", 1).alias("r_block"),
+        F.when(F.col("upper") % 2 == 0, F.col("r_last")).alias("left"), F.when(F.col("upper") % 2 == 1, F.col("r_first")).alias("right"),
+    )
+    halves = halves.groupBy("r_chrom", "r_level", "r_block").agg(F.max("left").alias("r_left"), F.min("right").alias("r_right"))
+    lookup = blocks.select("r_chrom", F.lit(0).alias("r_level"), "r_block", "r_pieces").unionByName(halves, allowMissingColumns=True)
+    start, end = col(roles.start).cast("bigint"), col(roles.end or roles.start).cast("bigint")
+    low, high = F.shiftright(start, bits), F.shiftright(end, bits)
+    level = F.when(low == high, 0).otherwise(F.length(F.bin(low.bitwiseXOR(high))))  # the highest bit they differ in
+    on = (
+        (text.chromosome(roles.chrom) == F.col("r_chrom"))
+        & (level == F.col("r_level"))
+        & (F.call_function("shiftright", low, level) == F.col("r_block"))
+        & (start <= end)
+        & F.when(level == 0, F.exists("r_pieces", lambda p: (p["r_start"] <= end) & (p["r_end"] >= start)))
+        .otherwise(F.coalesce(F.col("r_left") >= start, F.lit(False)) | F.coalesce(F.col("r_right") <= end, F.lit(False)))
+    )
+    return df.join(lookup, on, "left_semi")
 
 
 def detect_roles(df: DataFrame, roles: Roles = Roles()) -> Roles:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from varloom.operators import filters as flt
@@ -187,6 +189,16 @@ def b17(spark, sf):
     return regions.in_regions(variants(spark, sf), r, ROLES).select("variant_id")
 
 
+def _part_regions(spark, sf):
+    p = table(spark, sf, "part")
+    start = F.col("p_partkey") * 500 + 1000000
+    return p.select(
+        F.concat(F.lit("CHR"), F.col("p_partkey") % 22 + 1).alias("chromosome"),
+        start.alias("start"),
+        (start + F.col("p_size") * 10).alias("end"),
+    )
+
+
 @query(
     "b17_region_table",
     sql(
@@ -196,14 +208,24 @@ def b17(spark, sf):
     ),
 )
 def b17_table(spark, sf):
-    p = table(spark, sf, "part")
-    start = F.col("p_partkey") * 500 + 1000000
-    r = p.select(
-        F.concat(F.lit("CHR"), F.col("p_partkey") % 22 + 1).alias("chromosome"),
-        start.alias("start"),
-        (start + F.col("p_size") * 10).alias("end"),
-    )
-    return regions.in_region_table(variants(spark, sf), r, ROLES).select("variant_id")
+    return regions.in_region_table(variants(spark, sf), _part_regions(spark, sf), ROLES).select("variant_id")
+
+
+@query(
+    "b17_region_table_repeats",
+    sql(
+        """SELECT CASE WHEN start_pos % 3 > 0 THEN gene END AS variant_id, start_pos, stop_pos
+        FROM (SELECT *, end_pos + (start_pos % 5) * 1500 AS stop_pos FROM variants) v WHERE EXISTS (SELECT 1 FROM part p WHERE
+        v.chrom = 'chr' || CAST(p_partkey % 22 + 1 AS VARCHAR) AND v.start_pos <= 1000000 + p_partkey * 500 + p_size * 10
+        AND v.stop_pos >= 1000000 + p_partkey * 500)"""
+    ),
+)
+def b17_repeats(spark, sf):
+    """Wide rows, whose id is the gene or missing: rows are kept as they are, however often an id occurs."""
+    v = variants(spark, sf).withColumn("stop_pos", F.col("end_pos") + (F.col("start_pos") % 5) * 1500)
+    v = v.withColumn("variant_id", F.when(F.col("start_pos") % 3 > 0, F.col("gene")))
+    wide = replace(ROLES, end="stop_pos")
+    return regions.in_region_table(v, _part_regions(spark, sf), wide).select("variant_id", "start_pos", "stop_pos")
 
 
 @query("b18_chromosome_match", sql("SELECT variant_id, chrom FROM variants WHERE chrom = 'chr17'"))

@@ -222,7 +222,7 @@ def c14(spark, sf):
     ),
 )
 def c15(spark, sf):
-    return co.comutation_counts(co.gene_cells(variants(spark, sf), roles=ROLES), blocks=(3, 4))
+    return co.comutation_counts(co.gene_cells(variants(spark, sf), roles=ROLES))
 
 
 _HEAT_GENES = ["G9", "G1", "G5", "G44", "G70"]
@@ -261,7 +261,7 @@ def _fisher_sql(select: str, tail: str = "") -> str:
     ),
 )
 def c16(spark, sf):
-    scores = co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
+    scores = co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES)
     grid = co.gene_grid(scores, _HEAT_GENES).join(scores, ["gene1", "gene2"], "left")
     return grid.select(
         "gene1", "gene2", stats.rounded(F.coalesce("neg_log10_pval", F.lit(0.0)), 6).alias("score")
@@ -726,7 +726,7 @@ def d50(spark, sf):
 
 @query("k17_pairwise_for_genes", _fisher_sql(_FISHER_ROWS, "WHERE a > 0"))
 def k17(spark, sf):
-    return _rounded_fisher(co.pairwise_fisher(variants(spark, sf), unobserved=False, roles=ROLES, blocks=(2, 3)))
+    return _rounded_fisher(co.pairwise_fisher(variants(spark, sf), unobserved=False, roles=ROLES))
 
 
 _HEAT = """SELECT x.g AS gene1, y.g AS gene2, round(coalesce(CASE WHEN odds < 1 THEN log10(p) ELSE -log10(p) END, 0), 6) AS value FROM
@@ -736,7 +736,7 @@ _HEAT = """SELECT x.g AS gene1, y.g AS gene2, round(coalesce(CASE WHEN odds < 1
 
 @query("d51_interaction_heatmap", _fisher_sql(_HEAT))
 def d51(spark, sf):
-    pairs = co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES, blocks=(1, 1))
+    pairs = co.pairwise_fisher(variants(spark, sf), unobserved=True, roles=ROLES)
     return co.interaction_heatmap(pairs, _HEAT_GENES).withColumn("value", stats.rounded(F.col("value"), 6))
 
 
