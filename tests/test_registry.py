@@ -35,7 +35,7 @@ def test_oracles_belong_to_queries():
 
 
 #: These write files when they are called.
-WRITES = ("a1_", "a2_", "a3_", "a9_", "a13_", "s1_")
+WRITES = ("a1_", "a2_", "a3_", "a9_", "a13_", "s1_", "b11_dictionary", "b12_dictionary")
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(WRITES)))

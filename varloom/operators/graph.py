@@ -1,7 +1,9 @@
 """Questions to an undirected graph of gene interactions.
 
 Walks are unrolled joins.  Each hop keeps one row per (source, gene), so the
-frontier never grows beyond the number of genes however many paths there are.
+frontier never grows beyond the number of genes however many paths there are.  The
+links of a walk and each frontier are written once to the shared folder, so a hop
+evaluates itself only and the plan of a walk does not grow with what lies behind.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators.filters import BadRequest
-from varloom.operators.ordering import top_per_group
+from varloom.operators.ordering import checkpointed, top_per_group
 
 MAX_HOPS = 3
 
@@ -125,17 +127,30 @@ def neighbours(
     genes.
     """
     _check_hops(hops)
-    links = adjacency(filtered_edges(edges, types, min_confidence))
+    links = _links(filtered_edges(edges, types, min_confidence), hops)
     seen = _literal_genes(edges, genes, "gene").withColumn("distance", F.lit(0))
     frontier = seen.select("gene")
     for distance in range(1, hops + 1):
         reached = links.join(frontier, "gene", "left_semi").select(F.col("partner").alias("gene")).distinct()
-        fresh = reached.join(seen.select("gene"), "gene", "left_anti")
-        seen = seen.unionByName(fresh.withColumn("distance", F.lit(distance)))
-        frontier = fresh
+        fresh = reached.join(seen.select("gene"), "gene", "left_anti").withColumn("distance", F.lit(distance))
+        if distance < hops:
+            fresh = checkpointed(fresh)
+        seen = seen.unionByName(fresh)
+        frontier = fresh.select("gene")
     return seen.filter(F.col("distance") > 0).withColumn("is_query_gene", F.col("gene").isin(list(genes)))
 
 
+def _links(edges: DataFrame, hops: int) -> DataFrame:
+    """Both directions of the edges, repeats included; written once if more than one hop reads them."""
+    ends = edges.filter(F.col("gene_a").isNotNull() & F.col("gene_b").isNotNull())
+    both = F.array(
+        F.struct(F.col("gene_a").alias("gene"), F.col("gene_b").alias("partner")),
+        F.struct(F.col("gene_b").alias("gene"), F.col("gene_a").alias("partner")),
+    )
+    links = ends.select(F.inline(both))
+    return checkpointed(links) if hops > 1 else links
+
+
 def shortest_paths(
     edges: DataFrame,
     sources: Sequence[str],
@@ -146,35 +161,44 @@ def shortest_paths(
 ) -> DataFrame:
     """One shortest path of at most ``hops`` edges per (source, target).
 
-    Among equally short paths the alphabetically first one is taken.  It always
-    extends the first path to its last-but-one gene, so one path per (source,
-    gene) is enough.
+    Among equally short paths the alphabetically first one is taken.
+
+    The walks meet in the middle: from the sources ceil(hops / 2) edges, from the targets
+    the rest.  The first path runs over some gene that both walks reach at their least
+    distances; up to it, and from it on, it is the first one itself, so one path per
+    (source, gene) and per (gene, target) is enough.
     """
     _check_hops(hops)
-    links = adjacency(filtered_edges(edges, types, min_confidence))
-    start = _literal_genes(edges, sources, "source_gene")
-    seen = start.select(
-        "source_gene", F.col("source_gene").alias("gene"), F.array("source_gene").alias("path")
-    )
-    frontier = seen
-    for hop in range(1, hops + 1):
-        step = frontier.join(links, "gene").select(
-            "source_gene", F.col("partner").alias("gene"), F.concat("path", F.array("partner")).alias("path")
-        )
-        fresh = step.groupBy("source_gene", "gene").agg(F.min("path").alias("path"))
-        fresh = fresh.join(seen.select("source_gene", "gene"), ["source_gene", "gene"], "left_anti")
-        seen = seen.unionByName(fresh)
-        frontier = fresh
-    found = seen.filter(F.col("gene").isin(list(targets)) & (F.col("gene") != F.col("source_gene")))
-    return found.select(
+    links = _links(filtered_edges(edges, types, min_confidence), hops)
+    out = _walked(links, _literal_genes(edges, sources, "end"), (hops + 1) // 2, forward=True)
+    back = _walked(links, _literal_genes(edges, targets, "end"), hops // 2, forward=False)
+    met = out.select(F.col("end").alias("source_gene"), "gene", F.col("path").alias("first")).join(
+        back.select(F.col("end").alias("target_gene"), "gene", F.col("path").alias("last")), "gene"
+    ).filter("source_gene <> target_gene")
+    path = F.concat("first", F.slice("last", F.lit(2), F.size("last")))
+    best = met.groupBy("source_gene", "target_gene").agg(F.min(F.struct(F.size(path).alias("n"), path.alias("path"))).alias("best"))
+    return best.select(
         "source_gene",
-        F.col("gene").alias("target_gene"),
-        "path",
-        (F.size("path") - 1).alias("path_length"),
-        F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0))).alias("intermediate_genes"),
+        "target_gene",
+        "best.path",
+        (F.col("best.n") - 1).alias("path_length"),
+        F.slice("best.path", F.lit(2), F.greatest(F.col("best.n") - 2, F.lit(0))).alias("intermediate_genes"),
     )
 
 
+def _walked(links: DataFrame, ends: DataFrame, hops: int, forward: bool) -> DataFrame:
+    """(end, gene, path): the first shortest path from each end to the genes within ``hops``, or from these to the end."""
+    seen = ends.select("end", F.col("end").alias("gene"), F.array("end").alias("path"))
+    frontier = seen
+    for _ in range(hops):
+        path = F.concat("path", F.array("partner")) if forward else F.concat(F.array("partner"), "path")
+        step = frontier.join(links, "gene").select("end", F.col("partner").alias("gene"), path.alias("path"))
+        fresh = step.groupBy("end", "gene").agg(F.min("path").alias("path"))
+        frontier = checkpointed(fresh.join(seen.select("end", "gene"), ["end", "gene"], "left_anti"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def common_partners(
     edges: DataFrame,
     genes: Sequence[str],

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from varloom.functions.stats import rounded
 from varloom.operators import aggregate as agg
+from varloom.operators import sketches
 from varloom.registry.core import query
-from varloom.registry.fixtures import sql, table, variants
+from varloom.registry.fixtures import ROLES, sql, table, variants
 
 
 def _leaf(column, operator, value):
@@ -301,3 +302,13 @@ def k3(spark, sf):
         computed=[{"name": "label", "columns": ["disease", "variant_type"], "separator": " "}],
         filters=_leaf("table_name", "eq", "cohort_1"),
     )
+
+
+@query("d6_merged_sketches", sql(
+    """SELECT gene, count(*) AS "rows", count(DISTINCT tumor_sample_barcode) AS tumor_sample_barcode FROM variants
+    WHERE table_name IN ('cohort_0', 'cohort_2') GROUP BY gene"""
+))
+def d6_sketches(spark, sf):
+    """Counts of two cohorts together, from the sketches of all; exact at this number of values."""
+    stored = sketches.distinct_sketches(variants(spark, sf), ["tumor_sample_barcode"], ["gene"], ROLES)
+    return sketches.approximate_totals(stored, ["tumor_sample_barcode"], ["cohort_0", "cohort_2"], ["gene"], ROLES)

@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from varloom.operators import filters as flt
-from varloom.operators import regions, search, suggest
+from varloom.operators import dictionary, regions, search, suggest
 from varloom.registry.core import query
 from varloom.registry.fixtures import ROLES, pathway_genes, pathways, sql, table, variants
+from varloom.sources import export
 
 
 def _leaf(column, operator, value):
@@ -470,3 +471,27 @@ def k1(spark, sf):
         page_size=25,
         roles=ROLES,
     ).drop("variant_class")
+
+
+@query("b11_dictionary_search", sql(
+    """SELECT variant_id FROM variants WHERE variant_class ILIKE '%rame_shift%' OR protein_change ILIKE '%rame_shift%'
+    OR CAST(start_pos AS VARCHAR) ILIKE '%rame_shift%'"""
+))
+def b11_dictionary(spark, sf):
+    v = variants(spark, sf).select("variant_id", "variant_class", "protein_change", "start_pos")
+    columns = ["variant_class", "protein_change", "start_pos"]
+    path = export.fresh_path(v, "dictionary")
+    dictionary.write_dictionary(v, columns, path)
+    return dictionary.free_text(v, path, "rame_shift", columns).select("variant_id")
+
+
+@query("b12_dictionary_terms", sql(
+    """SELECT variant_id FROM variants v WHERE (protein_change ILIKE '%p.A1%' OR CAST(start_pos AS VARCHAR) ILIKE '%p.A1%')
+    AND (protein_change ILIKE '%12%' OR CAST(start_pos AS VARCHAR) ILIKE '%12%')"""
+))
+def b12_dictionary(spark, sf):
+    v = variants(spark, sf).select("variant_id", "protein_change", "start_pos")
+    columns = ["protein_change", "start_pos"]
+    path = export.fresh_path(v, "dictionary")
+    dictionary.write_dictionary(v, columns, path)
+    return dictionary.free_text_terms(v, path, ["p.A1", "12"], columns, "all").select("variant_id")

@@ -2,8 +2,9 @@
 
 Files that arrive in a folder are read once, typed, freed of duplicates and
 appended to the variant table.  The stream's own checkpoint remembers which
-files were read; a batch that is run again after a failure overwrites its own
-folder, so nothing is counted twice.
+files were read, and its state store which keys were stored; so a batch reads and
+writes its own rows only, however much is stored already.  A batch that is run again
+after a failure overwrites its own folder, so nothing is counted twice.
 """
 
 from __future__ import annotations
@@ -28,6 +29,28 @@ def variant_stream(
     return typed_positions(reader.csv(folder))
 
 
+#: Keeps the keys of all stored rows on disk, not in memory, and logs a batch's changes only.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def first_seen(stream: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Of the rows with one key the smallest one of the first batch that had any.
+
+    A streaming aggregate holds, for each key, the least of (time of the batch, row).  In
+    update mode a batch emits the keys it has rows of; those whose least row is of this
+    batch's time are new, and all others were emitted before.  The time of a batch is in
+    the checkpoint, so a batch that is run again finds the same rows.
+    """
+    now = F.current_timestamp()
+    rest = [col(c) for c in stream.columns if c not in key]
+    least = F.min(F.struct("_at", *rest)).alias("_row")
+    fresh = stream.withColumn("_at", now).groupBy(*[col(k) for k in key]).agg(least).filter(F.col("_row._at") == now)
+    return fresh.select(*[col(c) if c in key else F.col(f"_row.`{c}`") for c in stream.columns])
+
+
 def ingest_available(
     stream: DataFrame,
     target: str,
@@ -37,34 +60,31 @@ def ingest_available(
 ) -> None:
     """Append everything that has arrived and stop.
 
-    Rows whose key is already stored are left out by an anti join with the
-    earlier batches; the batch folder is the unit of retry.  With the cohort in
-    the key, as by default, only the cohorts of the batch are looked up.
+    Rows whose key was stored by an earlier batch or run are left out by the state in
+    ``checkpoint``, which belongs to ``target``; the batch folder is the unit of retry.
     """
     spark = stream.sparkSession
-    out_schema = T.StructType([T.StructField("batch", T.LongType()), *stream.schema.fields])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # of several rows with one key the smallest is kept, also when the batch is run again
-        rest = F.struct(*[col(c) for c in batch.columns if c not in key])
-        fresh = batch.groupBy(*[col(k) for k in key]).agg(F.min(rest).alias("_rest"))
-        fresh = fresh.select(*[col(k) for k in key], "_rest.*").select(*[col(c) for c in batch.columns])
-        if batch_id > 0:
-            stored = spark.read.schema(out_schema).parquet(target).filter(F.col("batch") < batch_id)
-            parts = [p for p in partition_by if p in key]
-            if parts:
-                # other folders cannot hold the key; the semi join prunes them at run time
-                stored = stored.join(batch.select(*[col(p) for p in parts]).distinct(), parts, "left_semi")
-            fresh = fresh.join(stored.select(*[col(k) for k in key]), list(key), "left_anti")
-        fresh.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{target}/batch={batch_id}")
-
-    query = (
-        stream.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+        batch.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{target}/batch={batch_id}")
+
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:
+        query = (
+            first_seen(stream, key).writeStream.outputMode("update").foreachBatch(write_batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def ingested(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
