@@ -142,17 +142,16 @@ def test_few_matches_reach_the_scan(searched, spark):
 
 def test_merged_sketches_equal_the_sketch_of_the_union(spark):
     df = spark.range(40_000).selectExpr(
-        "concat('c', id % 3) AS table_name", "CASE WHEN id % 10 > 0 THEN concat('s', id % 9000) END AS sample", "id % 4 AS g", "id % 700 AS n"
+        "concat('c', id % 3) AS table_name", "CASE WHEN id % 10 > 0 THEN concat('s', id % 9000) END AS sample", "id % 2 AS g", "id % 700 AS n"
     )
-    parts = sketches.distinct_sketches(df, ["sample", "n"], ["g"])
-    assert parts.count() == 12
+    parts = sketches.distinct_sketches(df, ["sample", "n"])
+    assert parts.count() == 3 and sketches.distinct_sketches(df, ["n"], ["g"]).count() == 6
     one = df.withColumn("table_name", F.lit("all"))
-    got = sketches.approximate_totals(parts, ["sample", "n"], group_by=["g"])
+    got = sketches.approximate_totals(parts, ["sample", "n"])
     # a sketch that was never merged is read by a sharper estimator; twice the same has the same registers without it
-    whole = sketches.distinct_sketches(one, ["sample", "n"], ["g"])
-    twice = sketches.approximate_totals(whole.unionByName(whole), ["sample", "n"], group_by=["g"])
-    assert rows(got, "g", "sample", "n") == rows(twice, "g", "sample", "n")
-    assert {r["rows"] for r in got.collect()} == {10_000}
+    whole = sketches.distinct_sketches(one, ["sample", "n"])
+    twice = sketches.approximate_totals(whole.unionByName(whole), ["sample", "n"])
+    assert rows(got, "sample", "n") == rows(twice, "sample", "n") and got.first()["rows"] == 40_000
     for r in sketches.approximate_totals(parts, ["sample"], ["c0", "c2"]).collect():
         exact = df.filter("table_name <> 'c1'").agg(F.countDistinct("sample").alias("n"), F.count(F.lit(1)).alias("rows")).first()
         assert abs(r["sample"] - exact["n"]) <= 0.03 * exact["n"] and r["rows"] == exact["rows"]

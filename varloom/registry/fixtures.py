@@ -92,7 +92,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 
 
 def gene_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("n")).distinct()
+    """A gene per part; ``block`` is one of fifty genes each."""
+    parts = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("n")).distinct()
+    return parts.withColumn("block", F.floor(F.col("n") / 50))
+
+
+GENE_NUMBERS = "SELECT DISTINCT l_partkey AS n, l_partkey // 50 AS block FROM lineitem"
 
 
 def _gene(n):
@@ -100,19 +105,16 @@ def _gene(n):
 
 
 def pathway_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gene_numbers(spark, sf_dir)
-    first = g.select(_gene(F.col("n")).alias("gene"), F.concat(F.lit("P"), F.col("n") % 7).alias("pathway_id"))
-    second = g.select(
-        _gene(F.col("n")).alias("gene"), F.concat(F.lit("P"), F.col("n") % 11 + 7).alias("pathway_id")
-    )
+    """Two pathways of each gene, and eighteen pathways per block of genes."""
+    g, n, block = gene_numbers(spark, sf_dir), F.col("n"), F.col("block")
+    first = g.select(_gene(n).alias("gene"), F.concat(F.lit("P"), block * 18 + n % 7).alias("pathway_id"))
+    second = g.select(_gene(n).alias("gene"), F.concat(F.lit("P"), block * 18 + n % 11 + 7).alias("pathway_id"))
     return first.union(second).distinct()
 
 
-PATHWAY_GENES = """
-SELECT 'G' || CAST(n AS VARCHAR) AS gene, 'P' || CAST(n % 7 AS VARCHAR) AS pathway_id
-FROM (SELECT DISTINCT l_partkey % 50 AS n FROM lineitem) g
-UNION SELECT 'G' || CAST(n AS VARCHAR), 'P' || CAST(7 + n % 11 AS VARCHAR)
-FROM (SELECT DISTINCT l_partkey % 50 AS n FROM lineitem) g
+PATHWAY_GENES = f"""
+SELECT 'G' || CAST(n AS VARCHAR) AS gene, 'P' || CAST(block * 18 + n % 7 AS VARCHAR) AS pathway_id FROM ({GENE_NUMBERS}) g
+UNION SELECT 'G' || CAST(n AS VARCHAR), 'P' || CAST(block * 18 + 7 + n % 11 AS VARCHAR) FROM ({GENE_NUMBERS}) g
 """
 
 
@@ -125,14 +127,16 @@ PATHWAYS = "SELECT DISTINCT pathway_id AS id, 'Pathway ' || pathway_id AS pathwa
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physical links inside a block of genes, genetic ones across blocks."""
     g, n = gene_numbers(spark, sf_dir), F.col("n")
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_partkey")).scalar()
     first = g.select(
-        _gene(n).alias("gene_a"), _gene((n * 3 + 1) % 50).alias("gene_b"),
+        _gene(n).alias("gene_a"), _gene(F.col("block") * 50 + (n * 3 + 1) % 50).alias("gene_b"),
         F.lit("physical").alias("interaction_type"),
         ((n * 37) % 100).cast("double").alias("score"),
     )
     second = g.select(
-        _gene(n).alias("gene_a"), _gene((n * 7 + 2) % 50).alias("gene_b"),
+        _gene(n).alias("gene_a"), _gene((n * 7 + 2) % last).alias("gene_b"),
         F.lit("genetic").alias("interaction_type"),
         ((n * 53) % 100).cast("double").alias("score"),
     )
@@ -141,13 +145,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EDGES = """
-SELECT 'G' || CAST(n AS VARCHAR) AS gene_a, 'G' || CAST((n * 3 + 1) % 50 AS VARCHAR) AS gene_b,
-  'physical' AS interaction_type, CAST((n * 37) % 100 AS DOUBLE) / 100 AS confidence_score
-FROM (SELECT DISTINCT l_partkey % 50 AS n FROM lineitem) g
-UNION ALL SELECT 'G' || CAST(n AS VARCHAR), 'G' || CAST((n * 7 + 2) % 50 AS VARCHAR), 'genetic',
-  CAST((n * 53) % 100 AS DOUBLE) / 100
-FROM (SELECT DISTINCT l_partkey % 50 AS n FROM lineitem) g
+EDGES = f"""
+SELECT 'G' || CAST(n AS VARCHAR) AS gene_a, 'G' || CAST(block * 50 + (n * 3 + 1) % 50 AS VARCHAR) AS gene_b,
+  'physical' AS interaction_type, CAST((n * 37) % 100 AS DOUBLE) / 100 AS confidence_score FROM ({GENE_NUMBERS}) g
+UNION ALL SELECT 'G' || CAST(n AS VARCHAR), 'G' || CAST((n * 7 + 2) % (SELECT max(l_partkey) FROM lineitem) AS VARCHAR), 'genetic',
+  CAST((n * 53) % 100 AS DOUBLE) / 100 FROM ({GENE_NUMBERS}) g
 """
 
 
@@ -198,11 +200,11 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DOMAINS = """
+DOMAINS = f"""
 SELECT 'G' || CAST(n AS VARCHAR) AS gene, 'D' || CAST(k AS VARCHAR) AS domain_id,
   CASE WHEN k > 0 THEN 'Domain ' || CAST(k AS VARCHAR) END AS domain_name,
   1 + k * 300 AS domain_start, 1 + k * 300 + 99 + n % 150 AS domain_end
-FROM (SELECT DISTINCT l_partkey % 50 AS n FROM lineitem) g
+FROM ({GENE_NUMBERS}) g
 CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS k FROM region WHERE r_regionkey < 3) d
 """
 

@@ -254,17 +254,19 @@ def k14_details(spark, sf):
     return reports.oncoplot_matrix(variants(spark, sf), GENES, roles=ROLES)["details"]
 
 
-_WIDE = "wide AS (SELECT gene AS \"Gene\", " + ", ".join(
-    f"CAST(coalesce(max(CASE WHEN tumor_sample_barcode = '{s}' THEN code END), 0) AS INTEGER) AS {s}" for s in ("S1", "S2", "S4", "S5")
-) + " FROM cells GROUP BY gene)"
-_LONG = """long AS (SELECT "Gene", sample_id, evalue, CASE evalue WHEN 1 THEN 'Missense_Mutation' WHEN 4 THEN 'Frame_Shift_Del'
+#: The wide matrix has a row per sample, under the id column's name, and a column per gene of the variant fixture.
+_AXIS = [f"G{n}" for n in range(50)]
+_WIDE = "wide AS (SELECT tumor_sample_barcode AS \"Gene\", " + ", ".join(
+    f"CAST(coalesce(max(CASE WHEN gene = '{g}' THEN code END), 0) AS INTEGER) AS {g}" for g in _AXIS
+) + " FROM cells GROUP BY tumor_sample_barcode)"
+_LONG = f"""long AS (SELECT "Gene", sample_id, evalue, CASE evalue WHEN 1 THEN 'Missense_Mutation' WHEN 4 THEN 'Frame_Shift_Del'
   WHEN 5 THEN 'Nonsense_Mutation' WHEN 8 THEN 'In_Frame_Ins' ELSE '' END AS annotation FROM
-  (UNPIVOT wide ON S1, S2, S4, S5 INTO NAME sample_id VALUE evalue) u)"""
+  (UNPIVOT wide ON {", ".join(_AXIS)} INTO NAME sample_id VALUE evalue) u)"""
 
 
 def _wide(spark, sf):
     c = cells(spark, sf)
-    return c.groupBy(F.col("gene").alias("Gene")).pivot("tumor_sample_barcode", ["S1", "S2", "S4", "S5"]).max("code").fillna(0)
+    return c.groupBy(F.col("tumor_sample_barcode").alias("Gene")).pivot("gene", _AXIS).max("code").fillna(0)
 
 
 @query("a12_melt", sql('SELECT "Gene", sample_id, evalue, annotation FROM long', "cells", ctes=f"{_WIDE}, {_LONG}"))

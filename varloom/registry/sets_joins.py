@@ -350,13 +350,14 @@ def c22(spark, sf):
     sql(
         """SELECT a.gene AS gene1, b.gene AS gene2 FROM (SELECT DISTINCT gene FROM n) a JOIN (SELECT DISTINCT gene FROM n) b
         ON a.gene < b.gene WHERE NOT EXISTS (SELECT 1 FROM n x JOIN n y ON x.s = y.s WHERE x.gene = a.gene AND y.gene = b.gene)""",
-        ctes="""n AS (SELECT DISTINCT gene, tumor_sample_barcode AS s FROM variants
-          WHERE variant_class = 'Nonsense_Mutation' AND variant_type = 'INS')""",
+        ctes="""n AS (SELECT DISTINCT gene || ':' || variant_class || ':' || variant_type AS gene, tumor_sample_barcode AS s
+          FROM variants)""",
     ),
 )
 def c22_pairs(spark, sf):
-    rows = variants(spark, sf).filter("variant_class = 'Nonsense_Mutation' AND variant_type = 'INS'")
-    return co.exclusive_pairs(rows, roles=ROLES)
+    """All variants, by kind of alteration of a gene; whole genes share samples with all others."""
+    kind = F.concat_ws(":", "gene", "variant_class", "variant_type")
+    return co.exclusive_pairs(variants(spark, sf).withColumn("gene", kind), roles=ROLES)
 
 
 # --- G: set operations -----------------------------------------------------
@@ -415,24 +416,23 @@ _LINKS = """l AS (SELECT gene_a AS gene, gene_b AS partner FROM edges UNION SELE
     "g7_shared_partners",
     sql(
         """SELECT partner AS common_partner, string_agg(gene, ',' ORDER BY gene) AS shared_by FROM l
-        WHERE gene IN ('G1', 'G15') GROUP BY partner HAVING count(*) = 2""",
+        WHERE gene IN ('G1', 'G13') GROUP BY partner HAVING count(*) = 2""",
         "edges", ctes=_LINKS,
     ),
 )
 def g7(spark, sf):
-    out = graph.common_partners(edges(spark, sf), ["G1", "G15"])
+    out = graph.common_partners(edges(spark, sf), ["G1", "G13"])
     return out.select("common_partner", F.array_join("shared_by", ",").alias("shared_by"))
 
 
 @query(
     "g8_side_by_side",
     sql(
-        """SELECT table_name AS dataset, gene, count(*) AS aggregated_value FROM variants WHERE gene IN ('G1', 'G2')
-        GROUP BY table_name, gene"""
+        """SELECT table_name AS dataset, gene, count(*) AS aggregated_value FROM variants GROUP BY table_name, gene"""
     ),
 )
 def g8(spark, sf):
-    v = variants(spark, sf).filter(F.col("gene").isin("G1", "G2"))
+    v = variants(spark, sf)
     data = sets.side_by_side({c: v.filter(F.col("table_name") == c) for c in ("cohort_0", "cohort_1", "cohort_2")})
     return agg.aggregate(data, "variant_id", ["dataset", "gene"])
 
@@ -603,13 +603,13 @@ def c15_parts(spark, sf):
 @query(
     "j5_common_partners",
     sql(
-        """SELECT partner AS common_partner, CAST(count(*) AS INTEGER) AS shared_count FROM l WHERE gene IN ('G20', 'G29', 'G37')
+        """SELECT partner AS common_partner, CAST(count(*) AS INTEGER) AS shared_count FROM l WHERE gene IN ('G1', 'G13', 'G30')
         GROUP BY partner HAVING count(*) = 3""",
         "edges", ctes=_LINKS,
     ),
 )
 def j5(spark, sf):
-    return graph.common_partners(edges(spark, sf), ["G20", "G29", "G37"]).select("common_partner", "shared_count")
+    return graph.common_partners(edges(spark, sf), ["G1", "G13", "G30"]).select("common_partner", "shared_count")
 
 
 # --- pathways --------------------------------------------------------------

@@ -44,10 +44,10 @@ def d24(spark, sf):
 @query("d25_region_summary", sql(
     """SELECT chrom AS chromosome, start_pos AS position, count(*) AS mutation_count, string_agg(DISTINCT gene, ',' ORDER BY gene)
     AS genes, string_agg(DISTINCT variant_class, ',' ORDER BY variant_class) AS variant_classes FROM variants
-    WHERE gene IN ('G3', 'G25') GROUP BY chrom, start_pos"""
+    GROUP BY chrom, start_pos"""
 ))
 def d25(spark, sf):
-    out = position.by_position(variants(spark, sf).filter(F.col("gene").isin("G3", "G25")), ROLES)
+    out = position.by_position(variants(spark, sf), ROLES)
     return out.withColumn("genes", F.array_join("genes", ",")).withColumn(
         "variant_classes", F.array_join("variant_classes", ",")
     )
@@ -168,10 +168,10 @@ def d27(spark, sf):
 
 @query("d28_normalised_profile", sql(
     "SELECT channel, round(mutation_count / sum(mutation_count) OVER (), 8) AS frequency FROM prof",
-    ctes=_PROFILE.replace("FROM variants)", "FROM variants WHERE gene = 'G21')"),
+    ctes=_PROFILE,
 ))
 def d28(spark, sf):
-    out = signature.profile(variants(spark, sf).filter("gene = 'G21'"), ROLES)
+    out = signature.profile(variants(spark, sf), ROLES)
     return out.select("channel", stats.rounded(F.col("frequency"), 8).alias("frequency"))
 
 
