@@ -476,6 +476,41 @@ def test_equal_values_stay_linked(spark, odd, none):
 # 6 fingerprints
 
 
+def imatch_by_hand(lexicon, text, subsets=imatch.SUBSETS):
+    """(level, two lists of hashes) of a text, term by term with plain integers."""
+    full, odd_number = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    own = sorted(set(words(text)) & set(lexicon))
+    if not own:
+        return None
+    level, out = math.ceil(math.log2(len(own))), []
+    for k in (level, level + 1):
+        hashes = []
+        for j in range(subsets):
+            kept = []
+            for t in own:
+                drawn = mixed((xxhash.xxh64_intdigest(t) + odd_number * (j + 1)) & full)
+                if drawn % 2**k == 0:
+                    kept.append(xxhash.xxh64_intdigest(t))
+            total = sum(mixed((h + i * odd_number) & full) for i, h in enumerate(kept)) & full
+            hashes.append((mixed(total) >> 64 - 4 * imatch.WIDTH | 1) if kept else 0)
+        out.append(hashes)
+    return level, out
+
+
+def likeness_by_hand(a, b):
+    if a is None or b is None:
+        return None
+    pairs = [(x, y) for k, xs in enumerate(a[1]) for m, ys in enumerate(b[1]) if a[0] + k == b[0] + m for x, y in zip(xs, ys, strict=True)]
+    some = [x == y for x, y in pairs if x or y]
+    return sum(some) / len(some) if some else float(a == b)
+
+
 def test_imatch_by_hand(spark, odd, none):
     rng = random.Random(1)
     vocabulary = [f"term{i}" for i in range(300)]
@@ -484,8 +519,8 @@ def test_imatch_by_hand(spark, odd, none):
     n = len(rows)
     df_by_hand = Counter(w for _, t in rows for w in set(words(t)))
     assert {r["term"]: r["df"] for r in imatch.document_frequencies(df).collect()} == df_by_hand
-    terms = imatch.lexicon(df, max_terms=2000, most_common=0.3)
-    least = max(2, -(-sum(df_by_hand.values()) // 2000))
+    terms = imatch.lexicon(df, least_common=0.15, most_common=0.3)
+    least = math.ceil(0.15 * n)
     assert terms.to_pylist() == sorted(t for t, c in df_by_hand.items() if least <= c <= int(0.3 * n))
     got = sorted(imatch.edited_likeness(df, terms).collect(), key=lambda r: r["doc_id"])
     matcher = imatch.Matcher(terms)
@@ -498,6 +533,13 @@ def test_imatch_by_hand(spark, odd, none):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert (r["fingerprint"], r["edited_fingerprint"]) == (a[2], b[2])
         assert r["near_edited"] == imatch.likeness(a, b) and r["near_next"] == imatch.likeness(a, c)
+        plain = [imatch_by_hand(terms.to_pylist(), t) for t in (text, edited, following)]
+        if plain[0]:
+            level, hashes = plain[0]
+            assert r["fingerprint"] == f"{level:02x}" + "".join(f"{x:0{imatch.WIDTH}x}" for h in hashes for x in h)
+        for name, other in (("near_edited", plain[1]), ("near_next", plain[2])):
+            want = likeness_by_hand(plain[0], other)
+            assert r[name] == pytest.approx(float(r["fingerprint"] == r["edited_fingerprint"] and name == "near_edited") if want is None and name == "near_edited" else r[name] if want is None else want)
     assert got[-1]["fingerprint"] == got[-2]["fingerprint"]
     found = imatch.edited_likeness(odd, imatch.lexicon(odd)).collect()
     assert len(found) == len(ODD)

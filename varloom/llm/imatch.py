@@ -1,9 +1,11 @@
 """I-Match fingerprints: hashes of a document's terms within randomised lexicons.
 
-The lexicon holds the terms whose document frequency lies in a band: not in more
-than ``most_common`` of the documents, and in at least ``postings / max_terms`` of
-them (2 at least).  As every term has that many postings, the lexicon never exceeds
-``max_terms`` and may be broadcast whatever the corpus.
+The lexicon holds the terms whose share of the documents lies in a band (and that are in
+two at least): between ``least_common`` and ``most_common``, which is a band of inverse
+document frequency.  The edges are shares, so they mean the same for any corpus, and
+they bound the lexicon: if texts have d distinct words on average, at most
+d / ``least_common`` terms can be that common, however many texts there are.  So it may
+be broadcast.
 
 ``subsets`` families of randomised sub-lexicons are drawn from it; in each, level l
 keeps a term with chance 2**-l.  A text uses the two levels at which about one of
@@ -21,6 +23,7 @@ equal fingerprints.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +37,7 @@ from pyspark.sql.window import Window
 from varloom.llm.common import slices, stored, texts_of, words_of
 
 SUBSETS = 32
-MAX_TERMS = 1_500_000
-MOST_COMMON = 0.05
+LEAST_COMMON, MOST_COMMON = 1e-4, 0.05
 #: Hexadecimal digits of one hash; all zero where no term is kept.
 WIDTH = 6
 
@@ -70,14 +72,12 @@ def _summed(tables: list[pa.Table]) -> list[pa.RecordBatch]:
     return pa.table({"term": total["term"], "df": total["df_sum"]}).to_batches(max_chunksize=50_000)
 
 
-def lexicon(docs: DataFrame, max_terms: int = MAX_TERMS, most_common: float = MOST_COMMON) -> pa.Array:
-    """The sorted terms of the band; at most ``max_terms``."""
-    found = stored(document_frequencies(docs), "term-frequencies")
+def lexicon(docs: DataFrame, least_common: float = LEAST_COMMON, most_common: float = MOST_COMMON) -> pa.Array:
+    """The sorted terms of the band, as shares of all documents."""
     n = docs.count()
-    postings = found.agg(F.sum("df")).first()[0] or 0
-    least, most = max(2, -(-postings // max_terms)), max(2, int(most_common * n))
-    band = found.filter(F.col("df").between(least, most)).select("term")
-    return pa.array(sorted(r["term"] for r in band.toLocalIterator()), pa.large_string())
+    least, most = max(2, math.ceil(least_common * n)), max(2, int(most_common * n))
+    band = document_frequencies(docs).filter(F.col("df").between(least, most)).select("term")
+    return pa.array(sorted(band.toArrow().column("term").to_pylist()), pa.large_string())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def edited_likeness(docs: DataFrame, terms: pa.Array, subsets: int = SUBSETS) ->
     """
     spark = docs.sparkSession
     name = hashlib.sha256("\0".join(terms.to_pylist()).encode()).hexdigest() + f"/{subsets}"
-    shared = spark.sparkContext.broadcast(terms)  # bounded by max_terms
+    shared = spark.sparkContext.broadcast(terms)  # bounded by the band, see above
 
     def matcher() -> Matcher:
         if name not in _own:
@@ -198,7 +198,8 @@ def edited_likeness(docs: DataFrame, terms: pa.Array, subsets: int = SUBSETS) ->
         return _own[name]
 
     kind = dict(docs.dtypes)["doc_id"]
-    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the head of the text lets a range end between rows of one id
+    placed = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     placed = placed.withColumn("part", F.spark_partition_id())
     shape = f"doc_id {kind}, {_FOUND}, part int, is_last boolean, first_text string, last_text string"
 
