@@ -1,8 +1,10 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
 Found are e-mail addresses, telephone numbers, IPv4 addresses, payment cards
-(13 to 19 digits, Luhn), IBANs (mod 97), social security numbers, 40-digit
-hexadecimal secrets and dates.  A value that fails its check (Luhn, mod 97, octets
+(13 to 19 digits in one run or in the usual groups, Luhn), IBANs (in one run or in
+groups of four, mod 97), social security numbers (of any digits), 40-digit hexadecimal
+secrets and dates (year first, day first or, where that is no date, month first).  Of
+groups the marks between them stay, and the number is the same as without.  A value that fails its check (Luhn, mod 97, octets
 up to 255, a real date) is no personal data and stays.  Each value is permuted
 among the values of its format: letters stay letters, digits digits, punctuation
 and length stay, check digits are computed anew, dates stay dates.  The permutation
@@ -33,14 +35,14 @@ _END = r"(?![\p{L}\p{N}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}"
 IPV4 = r"(?<![\p{L}\p{N}.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"
 SECRET = _FREE + r"[0-9A-Fa-f]{40}" + _END
-IBAN = _FREE + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _END
-DATE = _FREE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})" + _END
+IBAN = _FREE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?)" + _END
+DATE = _FREE + r"(?:[0-9]{4}[-./][0-9]{2}[-./][0-9]{2}|[0-9]{2}[-./][0-9]{2}[-./][0-9]{4})" + _END
 SSN = _FREE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END
 PHONE = (
     r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}" + _END
-    + "|" + _FREE + r"(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}" + _END
+    + "|" + _FREE + r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END
 )
-CARD = _FREE + r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})" + _END
+CARD = _FREE + r"(?:[0-9]{4}([ -])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{6}\1[0-9]{4,5})|[0-9]{13,19})" + _END
 #: In this order, as the first alternative that fits wins.
 PRIVATE = "|".join((EMAIL, IPV4, SECRET, IBAN, DATE, SSN, CARD, PHONE))
 
@@ -94,15 +96,15 @@ def _luhn_digit(body: Column) -> Column:
     return F.filter(digits, lambda d: luhn(F.concat(body, d)))[0]
 
 
-def _refilled(template: Column, digits: Column) -> Column:
-    """``template`` with its digits replaced in order by ``digits``."""
+def _refilled(template: Column, new: Column) -> Column:
+    """``template`` with all but its spaces and hyphens replaced in order by ``new``."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def put(s: Column, c: Column) -> Column:
-        digit = F.instr(F.lit(DIGITS), c) > 0
+        mark = c.isin(" ", "-")
         return F.struct(
-            F.concat(s["out"], F.when(digit, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"),
-            (s["at"] + F.when(digit, 1).otherwise(0)).alias("at"),
+            F.concat(s["out"], F.when(mark, c).otherwise(F.substring(new, s["at"], F.lit(1)))).alias("out"),
+            (s["at"] + F.when(mark, 0).otherwise(1)).alias("at"),
         )
 
     return F.aggregate(F.split(template, ""), state, put, lambda s: s["out"])
@@ -120,11 +122,12 @@ def _mod97(text: Column) -> Column:
 
 
 def iban_pseudonym(value: Column, key: str) -> Column:
-    country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
-    valid = _mod97(F.concat(body, F.substring(value, 1, 4))) == 1
+    plain = F.regexp_replace(value, "[ -]", "")
+    country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    valid = _mod97(F.concat(body, F.substring(plain, 1, 4))) == 1
     new = permuted(body, key, F.concat(F.lit("iban"), country), (DIGITS, UPPER))
     check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, F.concat(country, check, new)).otherwise(value)
+    return F.when(valid, _refilled(value, F.concat(country, check, new))).otherwise(value)
 
 
 def ip_pseudonym(value: Column, key: str) -> Column:
@@ -139,10 +142,14 @@ def ip_pseudonym(value: Column, key: str) -> Column:
 
 
 def date_pseudonym(value: Column, key: str) -> Column:
-    iso = value.contains("-")
     parts = F.split(value, "[-./]")
-    y, m, d = (F.when(iso, parts[a]).otherwise(parts[b]) for a, b in ((0, 2), (1, 1), (2, 0)))
-    day = F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")).cast("date")
+    year_first = F.length(parts[0]) == 4
+
+    def read(y: int, m: int, d: int) -> Column:
+        return F.try_to_timestamp(F.concat_ws("-", parts[y], parts[m], parts[d]), F.lit("yyyy-MM-dd")).cast("date")
+
+    day_first = F.when(~year_first, read(2, 1, 0))
+    day = F.when(year_first, read(0, 1, 2)).otherwise(F.coalesce(day_first, read(2, 0, 1)))
     a, b = DAY_FACTORS
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     inside = day.isNotNull() & number.between(0, a * b - 1)
@@ -163,9 +170,14 @@ def date_pseudonym(value: Column, key: str) -> Column:
         F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn,
         lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * b + s["r"]).cast("int")),
     )
-    mark = F.substring(value, 3, 1)
-    local = F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), F.substring(value, 6, 1), F.date_format(new, "yyyy"))
-    return F.when(inside, F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(local)).otherwise(value)
+    y, m, d = (F.date_format(new, x) for x in ("yyyy", "MM", "dd"))
+    spelt = F.when(year_first, F.concat(y, F.substring(value, 5, 1), m, F.substring(value, 8, 1), d)).otherwise(
+        F.concat(
+            F.when(day_first.isNotNull(), d).otherwise(m), F.substring(value, 3, 1),
+            F.when(day_first.isNotNull(), m).otherwise(d), F.substring(value, 6, 1), y,
+        )
+    )
+    return F.when(inside, spelt).otherwise(value)
 
 
 def pseudonym(value: Column, key: str) -> Column:
