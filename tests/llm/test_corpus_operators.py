@@ -706,6 +706,87 @@ def test_pairs_keep_words_and_chances():
     assert np.allclose(total / 4000, wanted, atol=0.03)
 
 
+def pivotal_by_hand(rows, rng, last):
+    """Rounded fractions of (size, wanted) in their order: mass moves between a held row and the next until one is whole."""
+    draws = [rng.random() for _ in rows]
+    out, held = [w for _, w in rows], None
+    for i, (size, w) in enumerate(rows):
+        if held is None:
+            held = i
+            continue
+        a, p, q = rows[held][0], out[held], w
+        fill, drain = min((1 - p) * a, q * size), min(p * a, (1 - q) * size)
+        if draws[i] * (fill + drain) < drain:
+            out[held], out[i] = (1.0, q - fill / size) if fill == (1 - p) * a else (p + fill / a, 0.0)
+        else:
+            out[held], out[i] = (0.0, q + drain / size) if drain == p * a else (p - drain / a, 1.0)
+        held = i if 0 < out[i] < 1 else held if 0 < out[held] < 1 else None
+    if last:
+        before, chances = list(out), [rng.random() for _ in rows]
+        out = [float(c < w) if 0 < w < 1 else w for w, c in zip(out, chances, strict=True)]
+        excess = sum(size * (x - w) for (size, _), x, w in zip(rows, out, before, strict=True))
+        for i, (size, _) in enumerate(rows):
+            if size <= excess and out[i] == 1:
+                out[i], excess = 0.0, excess - size
+            elif size <= -excess and out[i] == 0:
+                out[i], excess = 1.0, excess + size
+    return out
+
+
+def test_mix_equals_plain_tree(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), int(rng.paretovariate(0.9) * 10)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    got = {r["doc_id"]: r["copies"] for r in mixing.copies(df, bucket_rows=7, seed=3).collect()}
+    hashed = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64("doc_id", "size").alias("h")).collect()}
+    sizes, count = Counter(), Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+        count[s] += 1
+    targets, want, waiting = targets_by_hand(sizes), {}, []
+    for i, s, n in rows:
+        rate = targets[s] / sizes[s]
+        want[i] = math.floor(rate)
+        fraction = rate * 1 - math.floor(rate * 1)
+        if 0 < fraction < 1:
+            waiting.append((i, s, n, fraction, hashed[i] % max(1, -(-count[s] // 7))))
+    buckets, level = -(-max(count.values()) // 7), 0
+    while waiting:
+        groups, left = defaultdict(list), []
+        for row in waiting:
+            groups[row[1], row[4]].append(row)
+        for (s, bucket), own in groups.items():
+            own.sort(key=lambda r: (-r[2], r[0], r[3]))
+            seed = int.from_bytes(hashlib.blake2b(f"3/{level}/{bucket}/{s!r}".encode(), digest_size=8).digest(), "little")
+            done = pivotal_by_hand([(r[2], r[3]) for r in own], np.random.default_rng(seed), buckets == 1)
+            for (i, _, n, _, _), w in zip(own, done, strict=True):
+                if 0 < w < 1:
+                    left.append((i, s, n, w, bucket // mixing.FAN_IN))
+                else:
+                    want[i] += round(w)
+        waiting, level, buckets = left, level + 1, -(-buckets // mixing.FAN_IN)
+    assert got == want and level > 1
+
+
+def test_mix_of_repeated_rows(spark):
+    """A third of all rows are one row, another third have no id and one size: no bucket holds them as rows, and copies add up."""
+    rows = [(5, "same words", "a")] * 400 + [(None, f"word {i:03d}", "a") for i in range(400)] + [(i, "w " * (i % 9), "b") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    kinds = {(r["doc_id"], r["source"], r["size"]): r for r in mixing.counted_copies(docs.select("doc_id", "source", mixing.word_count().alias("size"))).collect()}
+    assert kinds[5, "a", 2]["rows"] == kinds[None, "a", 2]["rows"] == 400
+    got = Counter(map(tuple, mixing.mixed(docs).collect()))
+    again = Counter(map(tuple, mixing.mixed(docs.repartition(3)).collect()))
+    assert got == again
+    per_kind = Counter()
+    for (i, text, source), n in got.items():
+        per_kind[i, source, len(text.split())] += n
+    assert per_kind == Counter({k: r["copies"] for k, r in kinds.items() if r["copies"]})
+    own = [got[None, f"word {i:03d}", "a"] for i in range(400)]
+    assert max(own) - min(own) <= 1 and max(own) <= 2
+    each = Counter(r["copies"] for r in mixing.copies(docs.select("doc_id", "source", mixing.word_count().alias("size"))).filter("doc_id = 5 AND source = 'a'").collect() if r)
+    assert sum(each.values()) in (400, 401) and max(each) - min(each) <= 1
+
+
 def test_mix_odd_rows(odd, none):
     found = mixing.mixed(odd)
     assert found.columns == odd.columns

@@ -10,9 +10,11 @@ level higher, and so on up a tree.  The last document of a source is rounded by
 chance, and what that costs is made up for by swaps of shorter ones in the same task;
 so a source misses its target by less than one document, mostly by a few words.
 
-Buckets hold ``bucket_rows`` rows on average whatever a source's size, pairs are
-formed in order of falling size and chance comes from a seed and the bucket's
-place, so reruns agree on any cluster.  A null source is a source of its own, a
+Rows of one source, id and size are interchangeable: they are one counted row of the
+tree, and its copies are dealt out evenly at the end.  So buckets hold ``bucket_rows``
+counted rows on average, however often a row is repeated or an id is missing.  Pairs are
+formed in order of falling size and chance comes from a seed and the bucket's place, so
+reruns agree on any cluster.  A null source is a source of its own, a
 null text has size 0.  Documents of size 0 are taken as often as the whole part
 says.  Repeated rows are documents of their own.  Extra columns are ignored by
 ``copies`` and kept by ``mixed``.
@@ -26,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from varloom.llm.common import WORD, saved
 from varloom.operators.ordering import with_row_index
@@ -118,25 +119,30 @@ def _level(seed: int, last: bool):
     return run
 
 
-def copies(
+def counted_copies(
     sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
     seed: int = 1, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of ``sizes`` (doc_id, source, size)."""
-    sizes = saved(sizes.select("doc_id", "source", "size"))
+    """(doc_id, source, size, source_size, target, rows, copies) for each kind of row of ``sizes`` (doc_id, source, size).
+
+    ``rows`` says how many rows are of the kind, ``copies`` how often they are taken together.
+    """
+    kinds = saved(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
     targets = saved(source_targets(sizes, weights, share, cap))
-    most = targets.agg(F.max("rows").alias("rows")).first()["rows"] or 0
+    largest = kinds.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    total = rate * F.col("n")
+    whole = F.when(F.col("size") > 0, F.floor(total)).otherwise(F.floor(rate) * F.col("n")).cast("bigint")
     spread = F.greatest(F.ceil(F.col("rows") / bucket_rows), F.lit(1))
     # a hot source is one side of this join; its partition is split by adaptive execution
-    rows = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "d.doc_id", "d.source", "d.size", "source_size", "target",
-        F.floor(rate).alias("__whole"), (rate - F.floor(rate)).alias("__wanted"),
+    rows = kinds.withColumnRenamed("rows", "n").alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
+        "d.doc_id", "d.source", "d.size", "source_size", "target", "n",
+        whole.alias("__whole"), (total - F.floor(total)).alias("__wanted"),
         F.pmod(F.xxhash64("doc_id", "size"), spread).alias("__bucket"), F.lit(0).alias("__level"),
     )
     open_ = (F.col("__wanted") > 0) & (F.col("__wanted") < 1) & (F.col("size") > 0)
     settled, waiting = [rows.filter(~open_).withColumn("__wanted", F.lit(0.0))], rows.filter(open_)
-    buckets, level = max(1, -(-most // bucket_rows)), 0
+    buckets, level = max(1, -(-targets.agg(F.max("rows")).first()[0] // bucket_rows) if largest else 1), 0
     while True:
         last = buckets == 1
         done = saved(waiting.groupBy("source", "__bucket", "__level").applyInArrow(_level(seed, last), waiting.schema))
@@ -150,27 +156,58 @@ def copies(
     for more in settled[1:]:
         out = out.unionByName(more)
     taken = (F.col("__whole") + F.round("__wanted")).cast("bigint")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("n").alias("rows"), taken.alias("copies"))
+
+
+def _dealt(copies: Column, rows: Column, nth: Column) -> Column:
+    """Copies of the n-th (from 0) of ``rows`` equal rows that have ``copies`` together."""
+    return (F.floor(copies / rows) + F.when(nth < copies % rows, 1).otherwise(0)).cast("bigint")
+
+
+def copies(sizes: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for each row of ``sizes`` (doc_id, source, size)."""
+    kinds = counted_copies(saved(sizes.select("doc_id", "source", "size")), **options)
+    each = kinds.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)).alias("__nth"))
+    own = _dealt(F.col("copies"), F.col("rows"), F.col("__nth"))
+    return each.select("doc_id", "source", "size", "source_size", "target", own.alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and others), each as often as the mix takes it."""
+    """The rows of ``docs`` (doc_id, text, source and others), each as often as the mix takes it.
+
+    Texts meet the numbers once, by an equality join.  Rows that have the same id, source
+    and size as others, and of which some are taken once more than the others, are
+    numbered in the order of a hash of the row, by ranges.
+    """
+    names = docs.columns
     sized = docs.withColumn("__size", word_count())
-    taken = copies(sized.select("doc_id", "source", F.col("__size").alias("size")), **options)
-    # rows of equal id, source and size are interchangeable: the n-th has the n-th number of copies
-    same = Window.partitionBy("doc_id", "source", "__size")
-    left = sized.withColumn("__nth", F.row_number().over(same.orderBy("text")))
-    right = taken.filter("copies > 0").select(
-        F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "copies"
-    )
-    right = right.withColumn(
-        "__n", F.row_number().over(Window.partitionBy("__doc_id", "__source", "__of").orderBy(F.desc("copies")))
-    ).withColumnRenamed("copies", "__copies")
-    joined = left.join(
-        right,
-        F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
-        & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__n")),
-    )
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        [F.col(f"`{c}`") for c in docs.columns]
+    kinds = counted_copies(saved(sized.select("doc_id", "source", F.col("__size").alias("size"))), **options)
+    kinds = saved(kinds.filter("copies > 0").select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"),
+        F.col("rows").alias("__rows"), F.col("copies").alias("__copies"),
+    ))
+
+    def with_kinds(rows: DataFrame, own: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+        return rows.join(own, same & (F.col("__size") == F.col("__of")))
+
+    even = with_kinds(sized, kinds.filter("__copies % __rows = 0")).withColumn("__own", F.expr("__copies div __rows"))
+    found = _repeated(even, names)
+    uneven = kinds.filter("__copies % __rows > 0")
+    if uneven.isEmpty():
+        return found
+    order = [*(F.col(c).asc_nulls_first() for c in ("doc_id", "source", "__size")), F.xxhash64(*[F.col(f"`{c}`") for c in names])]
+    placed = with_row_index(with_kinds(sized, uneven), order, "__place")
+    first = placed.groupBy("__id", "__source", "__of").agg(F.min("__place").alias("__first"))
+    first = first.select(*[F.col(c).alias(f"{c}_of_first") for c in ("__id", "__source", "__of")], "__first")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of_first")) for c in ("__id", "__source", "__of")]
+    numbered = placed.join(first, same).withColumn(
+        "__own", _dealt(F.col("__copies"), F.col("__rows"), F.col("__place") - F.col("__first"))
     )
+    return found.unionByName(_repeated(numbered, names))
+
+
+def _repeated(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Each row as often as ``__own`` says."""
+    times = rows.filter("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int"))))
+    return times.select([F.col(f"`{c}`") for c in names])
