@@ -177,9 +177,9 @@ def manifest_by_hand(rows):
     return sorted(out, key=str)
 
 
-def manifest_of(df):
+def manifest_of(df, **options):
     changed = F.when(merkle.tampered(F.col("doc_id")), merkle.leaf(text=merkle.lowered(F.col("text")))).otherwise(merkle.leaf())
-    return sorted((tuple(r) for r in merkle.manifest(df, changed).collect()), key=str)
+    return sorted((tuple(r) for r in merkle.manifest(df, changed, **options).collect()), key=str)
 
 
 def test_manifest_equals_plain_tree(spark):
@@ -197,11 +197,11 @@ def test_manifest_equals_plain_tree(spark):
     assert manifest_of(one) == manifest_by_hand(one.collect())
 
 
-def test_manifest_with_superblocks_of_one_run(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "DEPTH", 1)
+@pytest.mark.parametrize("depth", [1, 2])
+def test_manifest_with_small_superblocks(spark, depth):
     rows = [(int(i), "big" if i % 3 else "small", "en", 1, f"T{i}") for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, n_chars bigint, text string")
-    assert manifest_of(df) == manifest_by_hand(df.collect())
+    assert manifest_of(df, depth=depth) == manifest_by_hand(df.collect())
 
 
 # 13 toxicity

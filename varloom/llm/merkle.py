@@ -55,20 +55,22 @@ def _joined(parts) -> str:
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
 
-def _levels(hashes: list[str], single: bool) -> list[list[str]]:
-    """The levels of a superblock from the leaves on; a ``single`` one ends where one node is left, others at DEPTH."""
+def _levels(hashes: list[str], size: int, depth: int) -> list[list[str]]:
+    """The levels of a superblock from the leaves on; the only one of its source ends where one node is left, others at ``depth``."""
     levels = [hashes]
-    while len(levels[-1]) > 1 if single else len(levels) <= DEPTH:
+    while len(levels[-1]) > 1 if size <= FAN**depth else len(levels) <= depth:
         below = levels[-1]
         levels.append([_joined(below[i : i + FAN]) for i in range(0, len(below), FAN)])
     return levels
 
 
-def _top(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("at")
-    top = _levels(frame["leaf"].tolist(), frame["size"].iloc[0] <= FAN**DEPTH)[-1][0]
-    blocks = -(-int(frame["size"].iloc[0]) // FAN**DEPTH)
-    return pd.DataFrame({"tree": frame["tree"].iloc[:1], "at": frame["block"].iloc[:1], "hash": [top], "size": [blocks]})
+def _top(depth: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, size = frame.sort_values("at"), int(frame["size"].iloc[0])
+        top = _levels(frame["leaf"].tolist(), size, depth)[-1][0]
+        return pd.DataFrame({"tree": frame["tree"].iloc[:1], "at": frame["block"].iloc[:1], "hash": [top], "size": [-(-size // FAN**depth)]})
+
+    return run
 
 
 def _climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -115,31 +117,36 @@ def _outer(levels: list[DataFrame], above: DataFrame) -> DataFrame:
     return known
 
 
-def _finished(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-    leaves = leaves.sort_values("at")
-    levels = _levels(leaves["leaf"].tolist(), leaves["size"].iloc[0] <= FAN**DEPTH)
-    above = [(r["before"], r["after"]) for r in outer["outer"].iloc[0]]
-    root = outer["root"].iloc[0]
-    local = [[("".join(level[i - i % FAN : i]), "".join(level[i + 1 : i - i % FAN + FAN])) for i in range(len(level))] for level in levels[:-1]]
-    proofs, folded = [], []
-    for i, node in enumerate(leaves["changed"].tolist()):
-        digest = hashlib.sha256()
-        path = above
-        if local:
-            path = [level[i // FAN**k] for k, level in enumerate(local)] + above
-        for before, after in path:
-            digest.update(before.encode())
-            digest.update(after.encode())
-            node = hashlib.sha256(f"{before}{node}{after}".encode()).hexdigest()
-        proofs.append(digest.hexdigest())
-        folded.append(node)
-    return pd.DataFrame({
-        "doc_id": leaves["doc_id"], "leaf": leaves["leaf"], "subroot": outer["subroot"].iloc[0], "root": root,
-        "proof_sha256": proofs, "folded_root": folded, "verified": np.array(folded, dtype=object) == root,
-    })
-
-
-def manifest(docs: DataFrame, changed: Column) -> DataFrame:
+def _finished(depth: int):
+    """Leaves of a superblock and what it needs from outside, to its rows of the manifest."""
+
+    def run(leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        leaves = leaves.sort_values("at")
+        levels = _levels(leaves["leaf"].tolist(), int(leaves["size"].iloc[0]), depth)
+        above = [(r["before"], r["after"]) for r in outer["outer"].iloc[0]]
+        root = outer["root"].iloc[0]
+        local = [
+            [("".join(level[i - i % FAN : i]), "".join(level[i + 1 : i - i % FAN + FAN])) for i in range(len(level))]
+            for level in levels[:-1]
+        ]
+        proofs, folded = [], []
+        for i, node in enumerate(leaves["changed"].tolist()):
+            digest = hashlib.sha256()
+            for before, after in [level[i // FAN**k] for k, level in enumerate(local)] + above:
+                digest.update(before.encode())
+                digest.update(after.encode())
+                node = hashlib.sha256(f"{before}{node}{after}".encode()).hexdigest()
+            proofs.append(digest.hexdigest())
+            folded.append(node)
+        return pd.DataFrame({
+            "doc_id": leaves["doc_id"], "leaf": leaves["leaf"], "subroot": outer["subroot"].iloc[0], "root": root,
+            "proof_sha256": proofs, "folded_root": folded, "verified": np.array(folded, dtype=object) == root,
+        })
+
+    return run
+
+
+def manifest(docs: DataFrame, changed: Column, depth: int = DEPTH) -> DataFrame:
     """Leaf, subroot, root, proof and check of each row of ``docs``.
 
     The proof is checked against ``changed``, the leaf as it is found later (an expression
@@ -156,9 +163,9 @@ def manifest(docs: DataFrame, changed: Column) -> DataFrame:
     leaves = placed.alias("d").join(trees.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
         "tree", (F.col("__place") - F.col("first")).alias("at"), "size", "doc_id", "leaf", "changed"
     )
-    leaves = stored(leaves.withColumn("block", F.floor(F.col("at") / FAN**DEPTH)), "leaves")
+    leaves = stored(leaves.withColumn("block", F.floor(F.col("at") / FAN**depth)), "leaves")
     kind = dict(docs.dtypes)["doc_id"]
-    nodes = saved(leaves.select("tree", "block", "at", "size", "leaf").groupBy("tree", "block").applyInPandas(_top, NODE))
+    nodes = saved(leaves.select("tree", "block", "at", "size", "leaf").groupBy("tree", "block").applyInPandas(_top(depth), NODE))
     levels, subroots = _climbed(nodes)
     subroots = saved(subroots)
     n = trees.count()
@@ -172,7 +179,7 @@ def manifest(docs: DataFrame, changed: Column) -> DataFrame:
     outer = outer.withColumn("root", F.lit(root["hash"] if root else None).cast("string"))
     # ids travel as text, as pandas has no integers beside nulls
     found = leaves.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(
-        _finished, "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
+        _finished(depth), "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     )
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
