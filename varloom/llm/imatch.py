@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varloom.llm.common import slices, stored, texts_of, words_of
+from varloom.llm.common import scratch, slices, stored, texts_of, words_of
 
 SUBSETS = 32
 LEAST_COMMON, MOST_COMMON = 1e-4, 0.05
@@ -76,8 +76,9 @@ def lexicon(docs: DataFrame, least_common: float = LEAST_COMMON, most_common: fl
     """The sorted terms of the band, as shares of all documents."""
     n = docs.count()
     least, most = max(2, math.ceil(least_common * n)), max(2, int(most_common * n))
-    band = document_frequencies(docs).filter(F.col("df").between(least, most)).select("term")
-    return pa.array(sorted(band.toArrow().column("term").to_pylist()), pa.large_string())
+    with scratch(docs.sparkSession) as put:
+        band = put(document_frequencies(docs).filter(F.col("df").between(least, most)).select("term"), "band")
+        return pa.array(sorted(band.toArrow().column("term").to_pylist()), pa.large_string())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
