@@ -43,7 +43,7 @@ def _pair_blocks(own, blocks: int):
 
 
 def sample_words(cells: DataFrame, total: Column) -> DataFrame:
-    """(bucket, word, gene, bits): the samples of a gene as bitmaps of 64 numbered samples.
+    """(bucket, word, gene and whatever else belongs to a gene, bits): a gene's samples as bitmaps of 64 numbered samples.
 
     Samples are numbered inside hash buckets, of which there are so many that one holds
     less than a word on average; what a bucket has beyond that goes to a next word.
@@ -53,32 +53,44 @@ def sample_words(cells: DataFrame, total: Column) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("sample")) - 1
     numbered = samples.withColumn("place", place)
     bit = F.expr(f"shiftleft(1L, place % {WORD})")
+    own = [F.col(c) for c in cells.columns if c != "sample"]
     return (
         cells.join(numbered, "sample")
-        .groupBy("bucket", F.floor(F.col("place") / WORD).alias("word"), "gene").agg(F.bit_or(bit).alias("bits"))
+        .groupBy("bucket", F.floor(F.col("place") / WORD).alias("word"), *own).agg(F.bit_or(bit).alias("bits"))
     )
 
 
 def comutation_counts(cells: DataFrame) -> DataFrame:
-    """Samples mutated in both genes, for every pair that shares a sample.
+    """Samples mutated in both genes, for every pair that shares a sample."""
+    return _shared_counts(cells).select("gene1", "gene2", "both")
+
+
+def _shared_counts(cells: DataFrame) -> DataFrame:
+    """(gene1, gene2, n1, n2, both): the samples of each gene and of both, for every pair that shares one.
 
     A gene is frequent if a word holds one of its samples on average.  Then words have
     fewer pairs than samples have; for rare genes they would have more.
     """
     total = cells.agg(F.countDistinct("sample")).scalar()
-    margin = cells.groupBy("gene").agg((F.count(F.lit(1)) * WORD >= total).alias("frequent"))
-    placed = cells.join(margin, "gene")
-    words = sample_words(placed.filter("frequent").select("gene", "sample"), total)
-    one, two = words.select("bucket", "word", F.col("gene").alias("gene1"), F.col("bits").alias("x")), words.select(
-        "bucket", "word", F.col("gene").alias("gene2"), F.col("bits").alias("y")
-    )
-    shared = F.bit_count(F.col("x").bitwiseAND(F.col("y")))
-    dense = one.join(two, ["bucket", "word"]).filter(F.col("gene1") < F.col("gene2"))
-    dense = dense.select("gene1", "gene2", shared.alias("n")).filter("n > 0")
-    rare = placed.filter("NOT frequent").select("sample", F.col("gene").alias("x"))
+    margin = cells.groupBy("gene").agg(F.count(F.lit(1)).alias("m"))
+    placed = cells.join(margin, "gene").withColumn("frequent", F.col("m") * WORD >= total)
+    words = sample_words(placed.filter("frequent").select("gene", "m", "sample"), total)
+
+    def side(k: int) -> DataFrame:
+        return words.select("bucket", "word", F.col("gene").alias(f"gene{k}"), F.col("m").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+
+    shared = F.bit_count(F.col("bits1").bitwiseAND(F.col("bits2")))
+    dense = side(1).join(side(2), ["bucket", "word"]).filter(F.col("gene1") < F.col("gene2"))
+    dense = dense.select("gene1", "gene2", "n1", "n2", shared.alias("n")).filter("n > 0")
+    rare = placed.filter("NOT frequent").select("sample", F.col("gene").alias("x"), F.col("m").alias("mx"))
     met = rare.join(placed, "sample").filter(F.col("frequent") | (F.col("x") < F.col("gene")))
-    sparse = met.select(F.least("x", "gene").alias("gene1"), F.greatest("x", "gene").alias("gene2"), F.lit(1).alias("n"))
-    return dense.unionByName(sparse).groupBy("gene1", "gene2").agg(F.sum("n").alias("both"))
+    first = F.col("x") < F.col("gene")
+    sparse = met.select(
+        F.least("x", "gene").alias("gene1"), F.greatest("x", "gene").alias("gene2"),
+        F.when(first, F.col("mx")).otherwise(F.col("m")).alias("n1"), F.when(first, F.col("m")).otherwise(F.col("mx")).alias("n2"),
+        F.lit(1).alias("n"),
+    )
+    return dense.unionByName(sparse).groupBy("gene1", "gene2", "n1", "n2").agg(F.sum("n").alias("both"))
 
 
 def all_pairs(genes: DataFrame, blocks: int = 16) -> DataFrame:
@@ -103,15 +115,15 @@ def pair_tables(cells: DataFrame, unobserved: bool = False) -> DataFrame:
 
     ``unobserved`` adds the pairs that never share a sample.
     """
-    counts = comutation_counts(cells)
+    counts = _shared_counts(cells)
     if unobserved:
         pairs = all_pairs(cells.select("gene"))
-        counts = pairs.join(counts, ["gene1", "gene2"], "left").fillna(0, ["both"])
-    margin = cells.groupBy("gene").agg(F.count(F.lit(1)).alias("m"))
-    first = margin.select(F.col("gene").alias("gene1"), F.col("m").alias("n1"))
-    second = margin.select(F.col("gene").alias("gene2"), F.col("m").alias("n2"))
-    total = cells.agg(F.countDistinct("sample")).scalar()
-    joined = counts.join(first, "gene1").join(second, "gene2").withColumn("total", total)
+        counts = pairs.join(counts.select("gene1", "gene2", "both"), ["gene1", "gene2"], "left").fillna(0, ["both"])
+        margin = cells.groupBy("gene").agg(F.count(F.lit(1)).alias("m"))
+        first = margin.select(F.col("gene").alias("gene1"), F.col("m").alias("n1"))
+        second = margin.select(F.col("gene").alias("gene2"), F.col("m").alias("n2"))
+        counts = counts.join(first, "gene1").join(second, "gene2")
+    joined = counts.withColumn("total", cells.agg(F.countDistinct("sample")).scalar())
     a = F.col("both")
     return joined.select(
         "gene1",
