@@ -847,7 +847,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType()))]))
     whole = np.floor(256 * vectors.astype(np.float32).astype(float)).astype(int)
-    found = topk.top_k(topk.whole_vectors(df), F.col("vec_id") % 5 == 0, 4, shard_rows=60, block_rows=20)
+    found = topk.top_k(topk.whole_vectors(df), F.col("vec_id") % 5 == 0, 4, shard_rows=60, block_rows=7)
     got = defaultdict(list)
     for r in found.orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -868,6 +868,48 @@ def test_tree_bounds_hold():
     assert sorted(tree.order) == list(range(300))
 
 
+def test_splits_route_every_row():
+    rng = np.random.default_rng(1)
+    sample = rng.integers(-50, 50, size=(200, 4))
+    sample[:90] = sample[0]  # equal vectors stay together
+    nodes = topk.splits(sample, 12)
+    regions = topk.region_of(nodes, sample)
+    assert len(set(regions[:90])) == 1 and 4 <= len(set(regions)) <= 12
+    assert sorted(set(regions)) == list(range(sum(side < 0 for side, *_ in nodes)))
+    assert set(topk.region_of(nodes, rng.integers(-900, 900, size=(50, 4)))) <= set(regions)
+    assert topk.splits(np.zeros((5, 0), int), 3) == topk.splits(np.zeros((5, 2), int), 3) == [(-1, 0, 0, 0)]
+
+
+def test_trees_are_rows_and_hot_vectors_split(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in (rng.integers(-9, 9, 3) if i % 3 else np.zeros(3))], 3, False, 0, int(rng.integers(1 << 31))) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>, length int, asks boolean, region int, lot bigint")
+    nodes = topk.trees(df, 100).collect()
+    held = defaultdict(list)
+    for r in nodes:
+        held[r["piece"]] += r["ids"]
+        assert len(r["vectors"]) == 3 * len(r["ids"]) and bool(r["ids"]) != bool(r["children"])
+    assert len(held) == 9 and max(map(len, held.values())) < 160
+    assert sorted(i for ids in held.values() for i in ids) == list(range(900))
+
+
+def test_queries_go_only_where_boxes_allow(spark):
+    # two far clusters: what the near one gives is out of reach for the other
+    rows = [(i, [(1 if i % 2 else -1) * 3.0 + i % 7 / 64, i % 5 / 64]) for i in range(600)]
+    df = topk.whole_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    boxes = pa.table({
+        "length": pa.array([2, 2], pa.int32()), "region": pa.array([0, 1], pa.int32()), "piece": pa.array([0, 0], pa.int32()),
+        "low": pa.array([[-768, 0], [768, 0]], pa.list_(pa.int64())), "high": pa.array([[-740, 20], [800, 20]], pa.list_(pa.int64())),
+    })
+    asked = df.filter("vec_id < 40").select(F.lit(2).alias("length"), "vec_id", "v")
+    first = topk.reached(asked.select("*", F.lit(None).cast("bigint").alias("kth"), F.lit(True).alias("first")), boxes).collect()
+    assert len(first) == 40 and all(r["region"] == r["vec_id"] % 2 for r in first)
+    told = asked.withColumn("first", F.lit(False))
+    assert topk.reached(told.withColumn("kth", F.lit(0).cast("bigint")), boxes).count() == 0
+    rest = topk.reached(told.withColumn("kth", F.lit(None).cast("bigint")), boxes).collect()
+    assert len(rest) == 40 and all(r["region"] != r["vec_id"] % 2 for r in rest)
+
+
 def test_top_k_odd_rows(spark):
     kind = StructType([StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType())), StructField("score", StringType())])
     rows = [
