@@ -52,15 +52,27 @@ def whole_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     return table.filter(F.col(vec_id).isNotNull() & x.isNotNull() & fine).select(F.col(vec_id).alias("vec_id"), whole.alias("v"))
 
 
+def _most(a: np.ndarray, b: np.ndarray) -> int:
+    """A bound of all sums in a product of rows of ``a`` with rows of ``b``."""
+    return int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0
+
+
+def _doubles_hold(a: np.ndarray, b: np.ndarray) -> bool:
+    return _most(a, b) < 1 << 53
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer matrix product; by way of doubles where these hold every sum."""
-    if a.size and b.size:
-        most = int(np.abs(a).max()) * int(np.abs(b).max()) * a.shape[1]
+    """Exact integer matrix product; by way of doubles where these hold every sum.
+
+    Doubles as input stand for integers that were found to be so small.
+    """
+    if a.dtype.kind == "i" and b.dtype.kind == "i":
+        most = _most(a, b.T)
         if most >= 1 << 62:
             return (a.astype(object) @ b.astype(object)).astype(np.int64)
         if most >= 1 << 53:
             return a @ b
-    return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
+    return (a.astype(np.float64, copy=False) @ b.astype(np.float64, copy=False)).astype(np.int64)
 
 
 class Tree:
@@ -102,6 +114,9 @@ def search(
     ``ids`` are in the order of ``tree.vectors``.
     """
     out_row, out_id, out_score = [], [], []
+    vectors = tree.vectors
+    if _doubles_hold(vectors, queries):  # every node's product is then exact too
+        vectors, queries = vectors.astype(np.float64), queries.astype(np.float64)
     for row, bounds in enumerate(tree.bounds(queries).tolist()):
         query, own, least = queries[row], query_ids[row], int(floors[row])
         heap = [(-bounds[0], 0)]
@@ -114,7 +129,7 @@ def search(
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             a, b = tree.span[node]
-            scores = product(tree.vectors[a:b], query[:, None])[:, 0]
+            scores = product(vectors[a:b], query[:, None])[:, 0]
             good = (scores >= least) & (ids[a:b] != own)
             if good.any():
                 best_score = np.concatenate([best_score, scores[good]])
