@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import slices, stored, texts_of, words_of
 
-ORDER = 3
+ORDER = 2
 GOOD_TURING = 5
 CHUNK_BYTES = 8 << 20
 BUCKET_ENTRIES = 1_000_000
