@@ -126,6 +126,22 @@ def test_comutation_of_frequent_and_rare_genes(spark):
     assert cooccurrence.comutation_counts(df.limit(0)).count() == 0
 
 
+def test_rare_pairs_go_as_lists(spark):
+    """Names with the marks of the list, null genes and samples, and a shuffle without a row a pair."""
+    names = ["a,b", "a%2Cb", "", "%", ",", "ü", None, "z"]
+    rows_ = [(g, f"s{s}") for s in range(3) for g in names[: 8 - s]] + [("z", None)] + [(f"n{i}", f"t{i}") for i in range(700)]
+    df = spark.createDataFrame(rows_, "gene string, sample string")
+    known = [[g for g in names[: 8 - s] if g is not None] for s in range(3)]
+    want = Counter(p for gs in known for p in combinations(sorted(gs), 2))
+    found = cooccurrence.comutation_counts(df)
+    assert {(r["gene1"], r["gene2"]): r["both"] for r in found.collect()} == dict(want)
+    split = spark.createDataFrame([(["b", "c"], ["a"])], "rare array<string>, often array<string>")
+    counted = cooccurrence._rare_counts(split)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(map(tuple, counted.collect())) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
+
+
 def test_all_pairs(spark):
     genes = spark.createDataFrame([(f"g{i:02d}",) for i in range(30)] * 2, "gene string")
     assert rows(cooccurrence.all_pairs(genes, 4)) == list(combinations([f"g{i:02d}" for i in range(30)], 2))
@@ -262,3 +278,12 @@ def test_roles_are_columns_of_the_callers_table(spark):
     df = spark.createDataFrame([("x", "s"), ("y", "s")], "symbol string, patient string")
     roles = Roles(gene="symbol", sample="patient")
     assert rows(cooccurrence.samples_with_genes(df, ["x", "y"], roles=roles)) == [("s", 2)]
+
+
+def test_wide_matrix_shuffles_cells_by_sample(spark, sf):
+    """The cells of a sample meet in one task: after the rows are dealt by sample nothing is shuffled again."""
+    from varloom.registry import matrices
+
+    plan = matrices._wide(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[: plan.index("Exchange hashpartitioning(tumor_sample_barcode")]
+    assert "Exchange" not in dealt
