@@ -265,8 +265,10 @@ _LONG = f"""long AS (SELECT "Gene", sample_id, evalue, CASE evalue WHEN 1 THEN '
 
 
 def _wide(spark, sf):
+    # the cells of a sample are in one task, which holds a row of the axis for its own samples only
     c = cells(spark, sf)
-    return c.groupBy(F.col("tumor_sample_barcode").alias("Gene")).pivot("gene", _AXIS).max("code").fillna(0)
+    codes = [F.coalesce(F.max(F.when(F.col("gene") == g, F.col("code"))), F.lit(0)).alias(g) for g in _AXIS]
+    return c.groupBy(F.col("tumor_sample_barcode").alias("Gene")).agg(*codes)
 
 
 @query("a12_melt", sql('SELECT "Gene", sample_id, evalue, annotation FROM long', "cells", ctes=f"{_WIDE}, {_LONG}"))
