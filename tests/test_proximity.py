@@ -12,6 +12,7 @@ from varloom.operators import intervals
 from varloom.operators import proximity as prox
 from varloom.operators.filters import BadRequest
 from varloom.operators.proximity import Reach
+from varloom.roles import Roles
 
 
 def test_blocks_tile_the_range(spark):
@@ -166,3 +167,26 @@ def test_prefilter_keeps_every_hit(table):
     kept = {(r["k_chrom"], r["pos"]) for r in near.collect()}
     for _, q, _ in brute_pairs(plain(table), Reach(7)):
         assert (q["chrom"], q["start"]) in kept
+
+
+def test_many_nearest_choose_positions_first(spark):
+    """More neighbours than travel with their blocks: equal distances, a hot position, null genes, both orders; no row is copied to every level."""
+    rng = random.Random(7)
+    spots = [rng.randrange(1, 400) for _ in range(700)] + [200] * 120
+    data = [(f"v{i:04d}", "chr1" if i % 3 else "chr2", p, None if i % 7 == 0 else f"g{i % 3}") for i, p in enumerate(spots)]
+    df = spark.createDataFrame(data, "variant_id string, chrom string, start_pos bigint, gene string")
+    refs = df.filter("variant_id < 'v0020'")
+    named = Roles(start="start_pos")
+    places = {(c, p) for i, c, p, _ in data if i < "v0020"}
+    for k, descending, zero in ((50, False, False), (90, False, True), (60, True, False)):
+        reach = Reach(80, exclude_reference=not zero)
+        got = prox.nearby_per_reference(refs, df, reach, k, descending=descending, roles=named)
+        want = []
+        for c, p in places:
+            near = [(abs(q - p), i) for i, d, q, _ in data if d == c and (0 if zero else 1) <= abs(q - p) <= 80]
+            near.sort(key=lambda x: (-x[0] if descending else x[0], x[1]))
+            want += [(c, p, i, d) for d, i in near[:k]]
+        assert rows(got, "reference_chromosome", "reference_position", "variant_id", "distance_bp") == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    spread = [line for line in plan.splitlines() if "posexplode" in line]
+    assert spread and all("id#" not in line for line in spread)

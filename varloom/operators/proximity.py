@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varloom.functions import genomics
 from varloom.functions.stats import rounded
@@ -21,6 +22,8 @@ from varloom.operators.ordering import top_per_group
 from varloom.roles import Roles, col
 
 UP, SAME, DOWN = -1, 0, 1
+#: So many neighbours travel with their blocks; of more the positions are chosen first.
+FEW = 32
 
 
 @dataclass(frozen=True)
@@ -263,7 +266,8 @@ def nearest(
     ``points`` and ``searched`` carry the key columns and ``pos``; the searched
     columns come back with their position as ``near_pos``.  Order is by
     distance, or by another searched column, then by ``tie``.  Each block only
-    keeps the k rows that can win, so a hot position stays small.  With
+    keeps the k rows that can win, so a hot position stays small; a large k by
+    distance is served by :func:`_many_nearest`.  With
     ``sparse_points`` the searched rows are first reduced to those around some
     point.
     """
@@ -287,6 +291,8 @@ def nearest(
     if sparse_points:
         searched = _in_reach(searched, points, reach)
     span = _span(searched, reach)
+    if by is None and k > FEW:
+        return _many_nearest(points, searched, reach, span, k, descending, tie)
     kept = top_per_group(searched, [*key, "pos"], k, within)
     index = None
     for order_of, sides in ((UP, [UP]), (DOWN, [SAME, DOWN])) if by is None else ((UP, [UP, SAME, DOWN]),):
@@ -301,6 +307,40 @@ def nearest(
     return top_per_group(hits, group, k, [directed(lead, descending), *ties])
 
 
+def _many_nearest(
+    points: DataFrame, searched: DataFrame, reach: Reach, span: Span, k: int, descending: bool, tie: Sequence[str]
+) -> DataFrame:
+    """The k first rows by distance, then ``tie``, of every point: first positions by their counts, then rows.
+
+    Blocks hold positions and how many rows these have, up to the k-th row; summed up by
+    distance they tell each point which positions it takes and how many rows of the last
+    distance.  So a row is neither copied to every block size nor met in every block.
+    """
+    key, ties = reach.key, [F.col(t).asc() for t in tie]
+    ranked = top_per_group(searched, [*key, "pos"], k, ties, rank="_place").withColumnRenamed("pos", "near_pos")
+    counts = searched.groupBy(*key, "pos").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_n"))
+    index = None
+    for falling, sides in ((not descending, [UP]), (descending, [SAME, DOWN])):
+        order = F.col("pos").desc() if falling else F.col("pos").asc()
+        before = Window.partitionBy(*key, "level", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = intervals.block_top(counts, key, span.levels, k, [order])
+        blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < k)
+        served = blocks.drop("_before").withColumn("side", F.explode(F.array(*[F.lit(x) for x in sides])))
+        index = served if index is None else index.unionByName(served)
+    index = index.withColumnRenamed("pos", "near_pos")
+    group = list(points.columns)
+    met = _probes(points, reach, span).join(index, [*key, "side", "level", "block"])
+    met = met.select(*group, "near_pos", "_n", F.abs(F.col("near_pos") - F.col("pos")).alias("distance_bp"))
+    lead = F.col("distance_bp").desc() if descending else F.col("distance_bp").asc()
+    # both windows need the same order of rows; the first one counts what stands at the same distance, too
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(lead))
+    same = F.sum("_n").over(Window.partitionBy(*group, "distance_bp"))
+    taken = met.withColumn("_left", F.lit(k) - (upto - same)).filter(F.col("_left") > 0)
+    rows = taken.drop("_n").join(ranked, [*key, "near_pos"]).filter(F.col("_place") <= F.col("_left"))
+    place = F.row_number().over(Window.partitionBy(*group, "distance_bp").orderBy(*ties))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= F.col("_left")).drop("_place", "_left")
+
+
 def nearby_per_reference(
     refs: DataFrame,
     variants: DataFrame,
