@@ -355,6 +355,23 @@ def test_similar_texts_meet(spark):
     assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs)
 
 
+def test_what_met_in_no_round_is_compared(spark):
+    """However few rounds of centres there are, every pair of a bucket is compared or joined by a chain of links."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(8):
+            words = list(base)
+            for k in rng.sample(range(120), rng.choice((0, 1, 2, 3))):
+                words[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    few, many = (sorted(r["doc_id"] for r in jaccard.one_of_each(docs, n).collect()) for n in (0, 6))
+    assert few == many
+    nearly_all_copies_went(few, brute_force_groups(texts)[0])
+
+
 @pytest.mark.parametrize("edits", [3, 6])
 def test_group_of_copies_about_the_limit(spark, edits):
     """Copies of one text, each with its own changes: any two over, or all under, a similarity of 0.8."""

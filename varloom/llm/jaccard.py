@@ -15,8 +15,9 @@ In a bucket each class is compared with one centre, the first class in the order
 hash, which is another order in each band; those that are not similar to it are compared
 with the second class of the bucket, and so on for up to ``ROUNDS`` centres, so the work
 of a bucket is linear in its size.  Every link is verified on the whole sets, and groups
-are the components of the links.  What is left out is a link whose two classes met in no
-round and no chain of links joins; the tests measure what brute force finds besides.
+are the components of the links.  Of the classes that met in no round, all pairs of a
+bucket whose sizes allow a link are compared then, unless a chain of links joins them
+already: no link of a bucket is lost, and a group of near copies is not expanded.
 
 Texts are shuffled once, after one row of each class and task was chosen; otherwise only
 hashes are, and the sets of classes that share a bucket.
@@ -40,6 +41,8 @@ from varloom.llm.components import connected_components, one_per_class
 
 SHINGLE = 5
 BANDS, ROWS, ROUNDS = 12, 5, 6
+#: Classes of a bucket that meet the bucket in one task, where all pairs are compared.
+SLICE = 256
 #: Name of the column with the class, which no document has.
 MARK = "__varloom_class"
 
@@ -167,6 +170,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _pairs_apart(members: DataFrame, sets: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a bucket that no chain of links joins, were not compared and have sizes that allow it.
+
+    A bucket is dealt in slices of about ``SLICE`` classes, each of which meets the bucket in a task of its own.
+    """
+    sizes = sets.select("fp", F.octet_length("codes").alias("size"))
+    known = members.select("band", "key", "fp").join(sizes, "fp").join(parts, "fp", "left")
+    known = known.withColumn("part", F.coalesce("component", "fp")).drop("component")
+    mixed = known.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.filter("low <> high").select("band", "key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    rest = known.join(mixed, ["band", "key"])
+    own = F.pmod(F.xxhash64("fp"), "slices").cast("int").alias("slice")
+    first = rest.select("band", "key", own, F.col("fp").alias("a"), F.col("part").alias("pa"), F.col("size").alias("x"))
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    second = rest.select("band", "key", every, F.col("fp").alias("b"), F.col("part").alias("pb"), F.col("size").alias("y"))
+    met = first.join(second, ["band", "key", "slice"]).filter("a < b AND pa <> pb AND least(x, y) * 5 >= greatest(x, y) * 4")
+    return met.select("a", "b").distinct().join(tried.distinct(), ["a", "b"], "left_anti")
+
+
 def kept_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(fp): of each group of near duplicates among ``docs`` the class of the smallest doc_id (null last, then fp)."""
     spark = docs.sparkSession
@@ -189,7 +211,7 @@ def kept_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         sets = _sets(docs).join(put(nodes, "compared"), "fp", "left_semi").groupBy("fp").agg(F.first("codes").alias("codes"))
         sets = put(sets, "sets")
         links = put(_verified(near, sets), "links")
-        waiting, centres = members, None
+        waiting, centres, tried = members, None, near
         for turns in range(rounds):
             rest = members
             if centres is not None:
@@ -204,12 +226,17 @@ def kept_classes(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             if pairs.isEmpty():
                 break
             found = put(_verified(pairs, sets), "links")
-            links = links.unionByName(found)
+            links, tried = links.unionByName(found), tried.unionByName(pairs)
             same = (F.least("fp", "centre") == F.col("a")) & (F.greatest("fp", "centre") == F.col("b"))
             apart = met.join(found, same, "left_anti")
             # every class has met the first centre, which need not wait for others
             waiting = put((apart if turns else apart.filter("fp <> centre")).select("band", "key", "fp"), "waiting")
+        # what met in no round: all pairs of a bucket whose classes no chain of links has joined
         parts = put(connected_components(links), "components").withColumnRenamed("node", "fp")
+        apart = put(_pairs_apart(members, sets, parts, tried), "pairs-apart")
+        if not apart.isEmpty():
+            links = links.unionByName(put(_verified(apart, sets), "links"))
+            parts = put(connected_components(links), "components").withColumnRenamed("node", "fp")
         grouped = classes.select("fp", "head").join(parts, "fp")
         first = grouped.groupBy("component").agg(F.min(F.struct("head", "fp")).alias("first")).select("first.fp")
         alone = classes.select("fp").join(parts.select("fp"), "fp", "left_anti")
