@@ -192,3 +192,19 @@ def test_pairwise_report_has_observed_pairs(spark):
     found = reports.pairwise_cooccurrence(df).collect()
     assert [(r["gene1"], r["gene2"]) for r in found] == [("A", "B")]
     assert found[0]["p_value"] == pytest.approx(1 / 3)
+
+
+def test_delimited_files_may_be_packed(spark, tmp_path):
+    df = spark.createDataFrame([("a", None, 1), ("", "b\tc", 2), (None, "x", 3)], "p string, q string, n int")
+    for packed in ("none", "gzip"):
+        export.write_delimited(df, str(tmp_path / packed), compression=packed)
+    files = [f.name for f in (tmp_path / "gzip").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    plain, back = (delimited.read_delimited(spark, str(tmp_path / k), df.schema).collect() for k in ("none", "gzip"))
+    assert sorted(plain, key=str) == sorted(back, key=str) and len(back) == 3
+
+
+def test_state_keeps_two_batches(spark):
+    """Old versions of the keys' state do not stay on disk, and what is kept is packed."""
+    assert ingest.STATE_STORE["spark.sql.streaming.minBatchesToRetain"] == "2"
+    assert ingest.STATE_STORE["spark.sql.streaming.stateStore.rocksdb.compression"] == "zstd"

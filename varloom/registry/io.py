@@ -229,7 +229,7 @@ def s1_batches(spark, sf):
     copies = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     part = F.pmod(F.xxhash64("variant_id", "copy"), F.lit(20)).cast("int")
     placed = copies.withColumn("part", part).repartitionById(20, F.col("part")).drop("copy", "part")
-    export.write_delimited(placed, folder)
+    export.write_delimited(placed, folder, compression="gzip")
     stream = ingest.variant_stream(spark, folder, _FILE_SCHEMA, files_per_batch=1)
     ingest.ingest_available(stream, target, marks, key=("table_name", "variant_id"))
     return ingest.ingested(spark, target, stream.schema).select("variant_id", "table_name", "gene", "start", "end")

@@ -8,13 +8,17 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.operators.ordering import shared_folder
+from varloom.operators.ordering import shared_folder, shuffles_dropped
 from varloom.roles import col
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = True, mode: str = "errorifexists") -> None:
-    """One file per task; null and the empty text both come out empty."""
-    df.write.mode(mode).option("sep", sep).option("header", header).option("emptyValue", "").csv(path)
+def write_delimited(
+    df: DataFrame, path: str, sep: str = "\t", header: bool = True, mode: str = "errorifexists", compression: str = "none"
+) -> None:
+    """One file per task; null and the empty text both come out empty.  Shuffle files go when all is written."""
+    writer = df.write.mode(mode).option("sep", sep).option("header", header).option("emptyValue", "")
+    with shuffles_dropped(df.sparkSession):
+        writer.option("compression", compression).csv(path)
 
 
 def write_sorted(df: DataFrame, path: str, by: Sequence[str], sep: str = "\t") -> None:
