@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, near duplicates, personal data, source mix, encoding.
 
 Each stage takes all that its predecessor kept; ``run`` writes every stage's result
-to the shared folder, reads it again and deletes the one before.
+to the shared folder, reads it again and deletes the one before.  Stages with Python
+bound the session's Arrow batches, as their results are computed where they are written.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from varloom.llm import bpe, jaccard, mixing, pii, quality
-from varloom.llm.common import drop_tables, table, written
+from varloom.llm.common import drop_tables, small_batches, table, written
 from varloom.llm.queries import KEY, VOCABULARY
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier accepts; it learns from the labels of the documents it is given."""
+    small_batches(spark)
     return quality.good_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -25,6 +27,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     SimHash links of five-word shingles, and more candidates from MinHash bands, as SimHash
     alone cannot reach a similarity of 0.8; all are verified on the whole shingle sets.
     """
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -40,6 +43,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document beside its id and source."""
+    small_batches(spark)
     found = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return found.select("doc_id", "source", "ids")
 

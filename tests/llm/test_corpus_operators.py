@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from datetime import datetime
 
@@ -21,7 +22,7 @@ from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, Struct
 
 import corpus_pipeline
 from varloom.llm import bpe, imatch, jaccard, katz, mixing, pii, quality, simhash, topk, urls, warc
-from varloom.llm.common import slices, texts_of, words_of
+from varloom.llm.common import BATCH_SETTING, slices, small_batches, texts_of, words_of
 from varloom.llm.components import connected_components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -355,6 +356,68 @@ def test_similar_texts_meet(spark):
     assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs)
 
 
+def largest_batch(spark, stage):
+    """MB of the largest batch that rows of 10 kB come in, after ``stage`` was called on a few documents."""
+    docs = spark.createDataFrame([(1, "one two three", "en", "a", 13)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wide = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        stage(docs)
+        return max(r["n"] for r in wide.mapInArrow(run, "n bigint").collect()) / 1e6
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
+@pytest.mark.parametrize("name", ["near duplicates", "token ids"])
+def test_stages_hold_small_batches(spark, name):
+    """What a stage returns is computed where it is written, so the bound holds for the session."""
+    assert largest_batch(spark, lambda docs: dict(corpus_pipeline.STAGES)[name](spark, docs, "")) < 5
+
+
+def test_smaller_bound_of_the_session_stays(spark):
+    spark.conf.set(BATCH_SETTING, "1m")
+    try:
+        small_batches(spark)
+        assert spark.conf.get(BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_arrays_of_a_piece_of_text_are_small():
+    """Many texts are looked at some at a time: NumPy and Python hold tens of MB."""
+    rng = random.Random(3)
+    texts = pa.array([" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) + "\n" for _ in range(2000)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    model = quality.fit(np.ones((4, 39)), np.full(4, 1), np.array([0, 1, 0, 1]), np.full(4, 9), rounds=2)
+
+    def shingles():
+        for piece in slices(iter([batch]), "text", jaccard.PIECE):
+            found = texts_of(piece.column("text"))
+            jaccard.band_keys(*jaccard.shingle_sets(found))
+            simhash.text_fingerprints(found, jaccard.SHINGLE)
+
+    def scores():
+        for piece in slices(iter([batch]), "text", quality.PIECE):
+            quality.text_scores(model, texts_of(piece.column("text")))
+
+    assert peak_mb(shingles) < 30
+    assert peak_mb(scores) < 35
+
+
 def test_what_met_in_no_round_is_compared(spark):
     """However few rounds of centres there are, every pair of a bucket is compared or joined by a chain of links."""
     rng = random.Random(9)

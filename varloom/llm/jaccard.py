@@ -43,6 +43,8 @@ SHINGLE = 5
 BANDS, ROWS, ROUNDS = 12, 5, 6
 #: Classes of a bucket that meet the bucket in one task, where all pairs are compared.
 SLICE = 256
+#: Bytes of text that a task looks at together; its arrays take many times as much.
+PIECE = 512 << 10
 #: Name of the column with the class, which no document has.
 MARK = "__varloom_class"
 
@@ -115,7 +117,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """(fp, doc_id, sim, bands) of each row: class, SimHash fingerprint, band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE):
             texts = texts_of(batch.column("text"))
             hashes, sizes = shingle_sets(texts)
             sim = simhash.text_fingerprints(texts, SHINGLE).view(np.int64)
@@ -133,7 +135,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """(fp, codes): the set of each row, as its ascending hashes in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE):
             hashes, sizes = shingle_sets(texts_of(batch.column("text")))
             data, ends = hashes.tobytes(), (np.cumsum(sizes) * 8).tolist()
             codes = pa.array([data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
@@ -146,7 +148,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     """``docs`` after a column with the class of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", PIECE):
             fp = set_hashes(*shingle_sets(texts_of(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([pa.array(fp), *batch.columns], names=[MARK, *batch.schema.names])
 

@@ -29,6 +29,8 @@ from varloom.llm.common import saved, slices, texts_of, words_of
 #: Bounds of the training sample.
 MAX_DOCUMENTS, MAX_LINES = 3000, 40_000
 THRESHOLD = 0.3
+#: Bytes of text that a task looks at together; its arrays take many times as much.
+PIECE = 1 << 20
 
 OTHER, LOWER, UPPER, DIGIT, SYMBOL, BAR, MARK, POINT, SPACE, LEAD = range(10)
 _CLASS = np.full(256, OTHER, dtype=np.int64)
@@ -238,7 +240,7 @@ def train(
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE):
             lines, counts = split_lines(texts_of(batch.column("text")))
             own, lengths = line_features(lines)
             ends = np.cumsum(counts)
@@ -283,7 +285,7 @@ def scored(docs: DataFrame, model: CrfModel | None, score: str = "score") -> Dat
     schema = kept.withColumn(score, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE):
             found = pa.array(text_scores(model, texts_of(batch.column("text"))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, score])
 
@@ -294,7 +296,7 @@ def good_documents(docs: DataFrame, model: CrfModel | None, threshold: float = T
     """The rows of ``docs`` whose text scores at least ``threshold``, unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", PIECE):
             keep = text_scores(model, texts_of(batch.column("text"))) >= threshold
             yield batch.filter(pa.array(keep))
 

@@ -71,7 +71,7 @@ def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = 42) -
     at = 0
     while at < len(filled):  # some texts at a time, as the votes take 64 bytes a run
         base = first_run[filled[at]]
-        stop = max(at + 1, int(np.searchsorted(first_run[filled] + per_text[filled], base + (1 << 16), side="right")))
+        stop = max(at + 1, int(np.searchsorted(first_run[filled] + per_text[filled], base + (1 << 14), side="right")))
         rows = filled[at:stop]
         part = hashes[base : first_run[rows[-1]] + per_text[rows[-1]]]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
