@@ -208,3 +208,31 @@ def test_state_keeps_two_batches(spark):
     """Old versions of the keys' state do not stay on disk, and what is kept is packed."""
     assert ingest.STATE_STORE["spark.sql.streaming.minBatchesToRetain"] == "2"
     assert ingest.STATE_STORE["spark.sql.streaming.stateStore.rocksdb.compression"] == "zstd"
+
+
+def test_twenty_batches_of_several_packed_files(spark, tmp_path, monkeypatch):
+    """A packed file is read by one task, so each of the twenty batches has several of them; no row is lost or added."""
+    from varloom.registry import io
+
+    n, sf, asked = 3000, tmp_path / "sf", {}
+    line = spark.range(n).selectExpr(
+        "id div 4 as l_orderkey", "cast(id % 4 + 1 as int) as l_linenumber", "id as l_partkey", "id % 7 as l_suppkey",
+        "cast(id % 9 as double) as l_quantity", "'A' as l_returnflag", "'F' as l_linestatus",
+    )
+    line.write.parquet(str(sf / "lineitem.parquet"))
+    spark.range(n // 4).selectExpr("id as o_orderkey", "id % 10 as o_custkey").write.parquet(str(sf / "orders.parquet"))
+    spark.range(10).selectExpr("id as c_custkey", "'X' as c_mktsegment").write.parquet(str(sf / "customer.parquet"))
+    stream = ingest.variant_stream
+    monkeypatch.setattr(io.export, "fresh_path", lambda df, name: str(tmp_path / name))
+    monkeypatch.setattr(ingest, "variant_stream", lambda *a, **named: asked.update(named) or stream(*a, **named))
+    monkeypatch.setattr(ingest, "ingest_available", lambda *a, **named: None)
+    monkeypatch.setattr(ingest, "ingested", lambda spark, target, schema: spark.createDataFrame([], schema))
+    io.s1_batches(spark, str(sf))
+    files = [f for f in (tmp_path / "arrivals").iterdir() if f.name.endswith(".csv.gz")]
+    assert asked["files_per_batch"] >= 4 and len(files) == 20 * asked["files_per_batch"]
+    back = delimited.read_delimited(spark, str(tmp_path / "arrivals"), io._FILE_SCHEMA).groupBy("variant_id").count()
+    assert back.count() == n and back.filter("count <> 2").count() == 0
+
+
+def test_state_looks_a_key_up_once():
+    assert ingest.STATE_STORE["spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"] == "false"

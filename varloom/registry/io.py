@@ -216,6 +216,10 @@ def s1(spark, sf):
     return ingest.ingested(spark, target, stream.schema).select("variant_id", "table_name", "gene", "start", "end")
 
 
+#: Packed files cannot be split, so a batch has one for each of its tasks.
+_BATCH_FILES = 12
+
+
 @query("s1_twenty_batches", sql(
     """SELECT variant_id, table_name, gene, TRY_CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM file
     QUALIFY row_number() OVER (PARTITION BY table_name, variant_id ORDER BY gene, chrom, TRY_CAST("start" AS BIGINT) NULLS FIRST,
@@ -223,14 +227,15 @@ def s1(spark, sf):
     ctes=_FILE_ROWS,
 ))
 def s1_batches(spark, sf):
-    """All rows twice, over twenty files of which each is a batch."""
+    """All rows twice, over twenty batches of ``_BATCH_FILES`` files each."""
     rows = _file_rows(spark, sf)
     folder, target, marks = (export.fresh_path(rows, n) for n in ("arrivals", "ingested", "progress"))
     copies = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    part = F.pmod(F.xxhash64("variant_id", "copy"), F.lit(20)).cast("int")
-    placed = copies.withColumn("part", part).repartitionById(20, F.col("part")).drop("copy", "part")
+    files = 20 * _BATCH_FILES
+    part = F.pmod(F.xxhash64("variant_id", "copy"), F.lit(files)).cast("int")
+    placed = copies.withColumn("part", part).repartitionById(files, F.col("part")).drop("copy", "part")
     export.write_delimited(placed, folder, compression="gzip")
-    stream = ingest.variant_stream(spark, folder, _FILE_SCHEMA, files_per_batch=1)
+    stream = ingest.variant_stream(spark, folder, _FILE_SCHEMA, files_per_batch=_BATCH_FILES)
     ingest.ingest_available(stream, target, marks, key=("table_name", "variant_id"))
     return ingest.ingested(spark, target, stream.schema).select("variant_id", "table_name", "gene", "start", "end")
 
