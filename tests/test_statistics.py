@@ -142,6 +142,45 @@ def test_rare_pairs_go_as_lists(spark):
     assert sorted(map(tuple, counted.collect())) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 1)]
 
 
+def test_numbered_names_travel_packed(spark):
+    """Names that a stem and a number make take their numbers' bits; all others, and pairs with these, are counted as well."""
+    rng = random.Random(11)
+    names = [f"G{rng.randrange(10 ** rng.randrange(1, 16))}" for _ in range(60)] + ["G0", "G00", "G07", "G7", "G-7", "G 7", "G+7", "G"]
+    names += ["G1125899906842624", "G99999999999999999999", "g7", "7", "H12", "H13", "TP53", "G12,", "ü9"]
+    names = sorted(set(names))
+    by_sample = {f"s{s}": rng.sample(names, rng.choice([1, 2, 3, 20, 60])) for s in range(40)}
+    by_sample |= {f"t{s}": [f"G{s}", "G7", "TP53"] for s in range(300)}  # two frequent genes
+    by_sample |= {f"u{s}": [f"u{s}"] for s in range(400)}
+    want = Counter(p for gs in by_sample.values() for p in combinations(sorted(set(gs)), 2))
+    df = spark.createDataFrame([(g, s) for s, gs in by_sample.items() for g in gs], "gene string, sample string")
+    found = cooccurrence.comutation_counts(df).collect()
+    assert len(found) == len(want) and {(r["gene1"], r["gene2"]): r["both"] for r in found} == dict(want)
+
+
+def test_many_pairs_are_sent_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "SENT", 40)
+    lists = [([f"{k}{n}" for k in ("G", "x,") for n in range(s, s + 9)], ["G100", "often"]) for s in range(30)]
+    want = Counter(tuple(sorted(p)) for rare, often in lists for p in [*combinations(rare, 2), *((r, o) for r in rare for o in often)])
+    split = spark.createDataFrame(lists, "rare array<string>, often array<string>").coalesce(1)
+    counted = cooccurrence._rare_counts(split)
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [rare_numbers") >= 2
+    found = counted.collect()
+    assert len(found) == len(want) and {(r["gene1"], r["gene2"]): r["both"] for r in found} == dict(want)
+
+
+def test_bytes_of_packed_pairs(spark):
+    """Four bytes a pair at most for numbers below ten millions, which took nine as text."""
+    rng = random.Random(5)
+    lists = [([f"G{n}" for n in rng.sample(range(10**6, 10**7), 60)], []) for _ in range(20)]
+    split = spark.createDataFrame(lists, "rare array<string>, often array<string>")
+    assert cooccurrence._common_stem(split) == "G"
+    numbers = F.transform("rare", lambda g: F.substring(g, 2, 9).cast("bigint"))
+    parted = split.select(numbers.alias("rare_numbers"), F.expr("array_repeat(0L, 0)").alias("often_numbers"))
+    sent = cooccurrence._numbers_sent(parted).agg(F.expr("sum(size(codes) * 8 + 8)")).first()[0]
+    assert sent <= 4 * 20 * 60 * 59 / 2
+    assert "split(" not in cooccurrence._rare_counts(split)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_all_pairs(spark):
     genes = spark.createDataFrame([(f"g{i:02d}",) for i in range(30)] * 2, "gene string")
     assert rows(cooccurrence.all_pairs(genes, 4)) == list(combinations([f"g{i:02d}" for i in range(30)], 2))
