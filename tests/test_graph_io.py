@@ -236,3 +236,14 @@ def test_twenty_batches_of_several_packed_files(spark, tmp_path, monkeypatch):
 
 def test_state_looks_a_key_up_once():
     assert ingest.STATE_STORE["spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"] == "false"
+
+
+def test_shuffle_files_of_a_batch_go(spark, tmp_path, monkeypatch):
+    name, seen, first_seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], ingest.first_seen
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(ingest, "first_seen", lambda *a: seen.append(spark.conf.get(name, None)) or first_seen(*a))
+    df = spark.createDataFrame([("1", "a", "G"), ("1", "a", "F")], "variant_id string, table_name string, gene string")
+    export.write_delimited(df, str(tmp_path / "in"))
+    ingest.ingest_available(ingest.variant_stream(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), str(tmp_path / "marks"))
+    assert seen == ["true"] and spark.conf.get(name, None) == before
+    assert rows(ingest.ingested(spark, str(tmp_path / "out"), df.schema), *df.columns) == [("1", "a", "F")]
